@@ -27,7 +27,7 @@ LOST = "�"
 MISREAD_UTF8 = ["cp1252", "latin-1", "cp1250", "iso8859-2", "iso8859-15", "cp1251", "koi8-r", "cp437", "cp850", "cp852", "cp866", "mac-roman"]
 MISREAD_BYTES = [
     ("mac-roman", "cp1252"), ("cp1252", "mac-roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp850"), ("cp1250", "cp1252"), ("cp1252", "cp1250"),
-    ("iso8859-2", "cp1250"), ("cp1251", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"),
+    ("iso8859-2", "cp1250"), ("cp1250", "iso8859-2"), ("cp1252", "iso8859-2"), ("iso8859-2", "cp1252"), ("cp1252", "iso8859-15"), ("iso8859-15", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"),
 ]
 UTF8_CHANNELS = [f"utf-8 as {w}" for w in MISREAD_UTF8] + [f"utf-8 as {w} twice" for w in MISREAD_UTF8[:2]]
 # Log-odds of a reading against the unchanged one: valid UTF-8 hardly arises by chance, swapped letters easily do.
@@ -94,14 +94,14 @@ def readings(token: str) -> tuple[tuple[str, str], ...]:
     found: dict[str, str] = {}
     for encoding in MISREAD_UTF8:
         text, restored = _read_utf8(token, encoding)
-        if restored and text.isprintable():
+        if not restored:
+            continue
+        if text.isprintable():
             found.setdefault(text, f"utf-8 as {encoding}")
-            if encoding in MISREAD_UTF8[:2]:
-                again, more = _read_utf8(text, encoding)
-                if not more and encoding == "latin-1":
-                    again, more = _read_utf8(text, "cp1252")
-                if more and again.isprintable():
-                    found.setdefault(again, f"utf-8 as {encoding} twice")
+        if encoding in MISREAD_UTF8[:2]:  # read wrongly twice; the halfway form may hold control characters
+            again, more = max((_read_utf8(text, e) for e in MISREAD_UTF8[:2]), key=lambda x: x[1])
+            if more and again.isprintable():
+                found.setdefault(again, f"utf-8 as {encoding} twice")
     for read_as, true in MISREAD_BYTES:
         text = token.translate(_swap(read_as, true))
         if text != token and text.isprintable() and LOST not in text and all(ord(c) < 128 or unicodedata.category(c) in _WRITTEN or c in "…·" for c in text):
