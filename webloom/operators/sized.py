@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle files whose lineage a checkpoint has cut, rather than at its next full collection."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def rows_with_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS, how: str = "left_semi") -> DataFrame:
     """Semi or anti join on one column; ``keys`` is broadcast if it counts at most ``limit`` rows, else shuffled.
 
