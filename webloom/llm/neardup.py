@@ -25,11 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.operators.sized import checkpointed, rows_with_keys, shuffle_partitions
+from webloom.operators.sized import checkpointed, release_shuffles, rows_with_keys, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENTS = 128  # a byte a segment; a count above 255 stays 255, which keeps the bound
 SATURATED = 4096  # frequencies are compared up to here, so a run of equal shingles is never held whole
+# A shingle travels as one long: 40 bits of hash, which order and join shingles (two that fall together only add a
+# candidate), and 18 bits of its record's size.  A record beyond that size has its whole set as prefix.
+SIZE_BITS, LARGEST = 18, (1 << 18) - 1
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -107,8 +110,8 @@ def _exploded(size: int, min_words: int):
         for batch in batches:
             of, s = shingle_sets(_texts(batch), size, min_words, hasher)
             n = np.bincount(of, minlength=batch.num_rows)[of]
-            # 48 bits order and join shingles; two that fall together only add a candidate.
-            yield pa.RecordBatch.from_arrays([pa.array((s >> np.uint64(16)).astype(np.int64)), pa.array(_ids(batch, of)), pa.array(n.astype(np.int32))], names=["h", "id", "n"])
+            packed = (s >> np.uint64(24) << np.uint64(SIZE_BITS)).astype(np.int64) | np.minimum(n, LARGEST)
+            yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(_ids(batch, of))], names=["x", "id"])
 
     return run
 
@@ -157,18 +160,19 @@ def _close(threshold: Fraction):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by ``h`` those whose ``h`` occurs twice or more, with its frequency; a run may span batches."""
-    names = ["id", "h", "df", "n"]
+    """Of ``(x, id)`` sorted by ``x`` those whose shingle occurs twice or more, as ``(id, r)`` with the logarithm of its
+    frequency above ``x``; a run of equal shingles may span batches."""
 
-    def batch_of(h: np.ndarray, ids: np.ndarray, n: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+    def batch_of(x: np.ndarray, ids: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
         keep = df > 1
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(h[keep]), pa.array(df[keep].astype(np.int32)), pa.array(n[keep])], names=names)
+        rank = np.floor(np.log2(df[keep]) * 2).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(rank << 58 | x[keep])], names=["id", "r"])
 
-    held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+    held = [np.empty(0, np.int64), np.empty(0, np.int64)]
     saturated: int | None = None  # the run that goes on beyond what is held
     for batch in batches:
-        cols = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, (batch.column(0), batch.column(1), batch.column(2)), strict=True)]
-        h = cols[0]
+        cols = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, batch.columns, strict=True)]
+        h = cols[0] >> SIZE_BITS
         if not len(h):
             continue
         bounds = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
@@ -188,22 +192,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(threshold: Fraction):
-    """Of rows sorted by ``id, df, h`` those within the record's prefix; a record may span batches."""
+    """Of ``(id, r)`` sorted by both those within the record's prefix, with their place in it; a record may span batches."""
 
-    def chosen(ids: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        bounds = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.empty(0, np.int64)
+    def chosen(ids: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+        bounds = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         shared = np.diff(np.append(bounds, len(ids)))
-        total = n[bounds].astype(np.int64)
+        total = r[bounds] & LARGEST
         need = -(-total * threshold.numerator // threshold.denominator)
-        take = total - need + 1 - (total - shared)  # shingles that no other record has come first
+        alone = np.maximum(total - shared, 0)  # shingles that no other record has come first
+        take = np.where(total == LARGEST, shared, total - need + 1 - alone)
         rank = np.arange(len(ids)) - np.repeat(bounds, shared)
         keep = rank < np.repeat(take, shared)
-        return pa.RecordBatch.from_arrays([pa.array(h[keep]), pa.array(ids[keep]), pa.array(n[keep])], names=["h", "id", "n"])
+        place = np.where(np.repeat(total, shared) == LARGEST, 0, rank + np.repeat(alone, shared))
+        return pa.RecordBatch.from_arrays([pa.array((r & ((1 << 58) - 1))[keep]), pa.array(ids[keep]), pa.array(place[keep].astype(np.int32))], names=["x", "id", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        held = [np.empty(0, np.int64), np.empty(0, np.int64)]
         for batch in batches:
-            cols = [np.concatenate([a, batch.column(c).to_numpy(zero_copy_only=False)]) for a, c in zip(held, ("id", "h", "n"), strict=True)]
+            cols = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, batch.columns, strict=True)]
             if len(cols[0]):
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))
                 if cut:
@@ -237,15 +243,21 @@ class Similar:
         spark, t = self.docs.sparkSession, self.t
         docs = self._distinct_docs()
         parts = shuffle_partitions(spark)
-        exploded = docs.mapInArrow(_exploded(self.size, self.min_words), "h bigint, id bigint, n int")
-        shared = exploded.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared, "id bigint, h bigint, df int, n int")
-        prefix = shared.repartition(parts, "id").sortWithinPartitions("id", "df", "h").mapInArrow(_prefixes(t), "h bigint, id bigint, n int")
-        postings = checkpointed(prefix.distinct())
+        exploded = docs.mapInArrow(_exploded(self.size, self.min_words), "x bigint, id bigint")
+        shared = exploded.repartition(parts, F.shiftright("x", SIZE_BITS)).sortWithinPartitions("x").mapInArrow(_shared, "id bigint, r bigint")
+        prefix = shared.repartition(parts, "id").sortWithinPartitions("id", "r").mapInArrow(_prefixes(t), "x bigint, id bigint, place int")
+        postings = checkpointed(prefix)
+        del exploded, shared, prefix
+        release_shuffles(spark)
+        h, n = F.shiftright("x", SIZE_BITS), F.col("x").bitwiseAND(F.lit(LARGEST))
         # Grid over the embedding's total: cells grow by 1/t, so a partner's size is in this cell or the next.
-        cell = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(float(1 / t))) + 1e-9).cast("int")
-        small = postings.select("h", cell.alias("cell"), F.col("id").alias("id_s"), F.col("n").alias("n_s"))
-        large = postings.select("h", F.explode(F.array(cell, cell - 1)).alias("cell"), F.col("id").alias("id_l"), F.col("n").alias("n_l"))
-        fits = (F.col("n_l") >= F.col("n_s")) & (F.col("n_s") * t.denominator >= F.col("n_l") * t.numerator) & ((F.col("n_s") < F.col("n_l")) | (F.col("id_s") < F.col("id_l")))
+        cell = F.floor(F.log(n.cast("double")) / F.log(F.lit(float(1 / t))) + 1e-9).cast("int")
+        small = postings.select(h.alias("h"), cell.alias("cell"), F.col("id").alias("id_s"), n.alias("n_s"), F.col("place").alias("at_s"))
+        large = postings.select(h.alias("h"), F.explode(F.array(cell, cell - 1)).alias("cell"), F.col("id").alias("id_l"), n.alias("n_l"), F.col("place").alias("at_l"))
+        fits = (F.col("n_l") >= F.col("n_s")) & ((F.col("n_s") * t.denominator >= F.col("n_l") * t.numerator) | (F.col("n_l") == LARGEST)) & ((F.col("n_s") < F.col("n_l")) | (F.col("id_s") < F.col("id_l")))
+        # From its first common shingle on, a pair can share no more than what is left of either record.
+        left = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
+        fits = fits & ((left * (t.denominator + t.numerator) >= (F.col("n_s") + F.col("n_l")) * t.numerator) | (F.col("n_l") == LARGEST))
         near = small.join(large, ["h", "cell"]).where(fits).select("id_s", "id_l").distinct()
         near = checkpointed(near)
         ids = checkpointed(near.select(F.explode(F.array("id_s", "id_l")).alias("id")).distinct())
