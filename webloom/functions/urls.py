@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\x1c-\x1f\x85 ]+|[\s\x1c-\x1f\x85 ]+$", "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often it's used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_url(url: Column) -> Column:
     """Trimmed, with ``https://`` where there's no ``http(s)://``; NULL stays NULL."""
     u = _strip(url)
@@ -73,7 +78,7 @@ def _encoded(piece: Column) -> Column:
 
 def _clean_query(query: Column) -> Column:
     pieces = F.filter(F.split(query, "&"), lambda p: p != "")
-    pairs = F.transform(pieces, lambda p: F.struct(_decoded(F.substring_index(p, "=", 1)).alias("k"), _decoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("v")))
+    pairs = F.transform(pieces, lambda p: F.named_struct(F.lit("k"), _decoded(F.substring_index(p, "=", 1)), F.lit("v"), _decoded(F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise(""))))
     kept = F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING_PARAMS))
     return F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
 
@@ -84,39 +89,42 @@ def canonicalize(url: Column, drop_tracking: bool = True, drop_fragment: bool =
     Scheme and host in lower case, no user, default port, doubled or trailing slash, tracking parameter or fragment;
     parameters sorted and encoded anew.  NULL gives ``''``.
     """
-    u = _strip(F.coalesce(url, F.lit("")))
-    low = F.lower(u)
+    return _let(_strip(F.coalesce(url, F.lit(""))), lambda u: _let(F.lower(u), lambda low: _canonical(u, low, drop_tracking, drop_fragment)))
+
+
+def _canonical(u: Column, low: Column, drop_tracking: bool, drop_fragment: bool) -> Column:
     web = low.rlike("^https?://")
-    other = F.lit(False)
-    for scheme in OTHER_SCHEMES:
-        other = other | low.startswith(scheme)
+    other = low.rlike("^(?:" + "|".join(OTHER_SCHEMES) + ")")
+
+    def assembled(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
+        name = F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*)", 1))
+        port = F.regexp_extract(authority, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+        number = port.try_cast("int")
+        bad_port = (port != "") & (number.isNull() | (number < 0) | (number > 65535) | ~port.rlike("^[0-9]+$"))
+        shown = F.when((port == "") | (number == 0) | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443)), name).otherwise(F.concat(name, F.lit(":"), number.cast("string")))
+        clean = _let(F.regexp_replace(path, "/{2,}", "/"), lambda p: F.when(p == "", "/").when(F.length(p) > 1, F.regexp_replace(p, "/$", "")).otherwise(p))
+        asked = F.when(query == "", "").otherwise(_let(_clean_query(query) if drop_tracking else query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+        parts = [scheme, F.lit("://"), shown, clean, asked]
+        if not drop_fragment:
+            parts.append(F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
+        return F.when((name == "") | bad_port, "").otherwise(F.concat(*parts))
+
     full = F.when(web, u).otherwise(F.concat(F.lit("https://"), u))
-    scheme = F.lower(url_part(full, 1))
-    authority = F.regexp_replace(url_part(full, 2), "^.*@", "")
-    name = F.lower(F.regexp_extract(authority, r"^(\[[^\]]*\]|[^:]*)", 1))
-    port = F.regexp_extract(authority, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
-    number = port.try_cast("int")
-    bad_port = (port != "") & (number.isNull() | (number < 0) | (number > 65535) | ~port.rlike("^[0-9]+$"))
-    shown = F.when((port == "") | (number == 0) | ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443)), name).otherwise(F.concat(name, F.lit(":"), number.cast("string")))
-    path = F.regexp_replace(url_part(full, 3), "/{2,}", "/")
-    path = F.when(path == "", "/").when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise(path)
-    query = url_part(full, 4)
-    query = _clean_query(query) if drop_tracking else query
-    out = F.concat(scheme, F.lit("://"), shown, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    if not drop_fragment:
-        fragment = url_part(full, 5)
-        out = F.concat(out, F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
-    return F.when((u == "") | other | (F.contains(u, F.lit("://")) & ~web) | (name == "") | bad_port, "").otherwise(out)
+    split = _let(full, lambda f: F.array(F.lower(url_part(f, 1)), F.regexp_replace(url_part(f, 2), "^.*@", ""), url_part(f, 3), url_part(f, 4), url_part(f, 5)))
+    whole = _let(split, lambda p: assembled(p[0], p[1], p[2], p[3], p[4]))
+    return F.when((u == "") | other | (F.contains(u, F.lit("://")) & ~web), "").otherwise(whole)
 
 
 def registrable_domain(name: Column) -> Column:
     """The last two labels of a host, three where the second-last is a common public suffix of a country; addresses unchanged."""
     h = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"^\.+|\.+$", "")
-    labels = F.split(h, r"\.")
-    n = F.size(labels)
-    country = F.element_at(labels, -2).isin(SECOND_LEVEL) & (F.length(F.element_at(labels, -1)) == 2)
-    last = F.when(country, F.array_join(F.slice(labels, -3, 3), ".")).otherwise(F.array_join(F.slice(labels, -2, 2), "."))
-    return F.when(h.rlike(r"^\d+\.\d+\.\d+\.\d+$") | (n <= 2), h).otherwise(last)
+
+    def last(labels: Column) -> Column:
+        country = F.element_at(labels, -2).isin(SECOND_LEVEL) & (F.length(F.element_at(labels, -1)) == 2)
+        number = (F.size(labels) == 4) & F.forall(labels, lambda x: x.rlike("^[0-9]+$"))
+        return F.when((F.size(labels) <= 2) | number, F.array_join(labels, ".")).when(country, F.array_join(F.slice(labels, -3, 3), ".")).otherwise(F.array_join(F.slice(labels, -2, 2), "."))
+
+    return _let(F.split(h, r"\."), last)
 
 
 def has_skip_extension(url: Column) -> Column:
