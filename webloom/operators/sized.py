@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,8 +27,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let the context cleaner drop shuffle files whose lineage a checkpoint has cut, rather than at its next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)  # references are given back by a thread of their own
+        spark.sparkContext._jvm.java.lang.System.gc()
+        time.sleep(0.3)
 
 
 def rows_with_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS, how: str = "left_semi") -> DataFrame:
