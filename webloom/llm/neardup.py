@@ -30,6 +30,7 @@ from webloom.operators.sized import checkpointed, release_shuffles, rows_with_ke
 WORD = re.compile(r"[^\W_]+")
 SEGMENTS = 128  # a byte a segment; a count above 255 stays 255, which keeps the bound
 SATURATED = 4096  # frequencies are compared up to here, so a run of equal shingles is never held whole
+LONG_RUN = 20_000  # records that share a shingle within their prefixes and are compared in one task; longer runs are joined in cells
 # A shingle travels as one long: 40 bits of hash, which order and join shingles (two that fall together only add a
 # candidate), and 18 bits of its record's size.  A record beyond that size has its whole set as prefix.
 SIZE_BITS, LARGEST = 18, (1 << 18) - 1
@@ -221,6 +222,58 @@ def _prefixes(threshold: Fraction):
     return run
 
 
+def _pairs(threshold: Fraction):
+    """Candidate pairs among ``(x, id, place)`` sorted by ``x``, hence by shingle and, within it, by the record's size: a range
+    join over sizes.  Runs longer than ``LONG_RUN`` come out as they are, with their ``x``."""
+    up, over = threshold.numerator, threshold.denominator
+    names = ["id_s", "id_l", "x", "place"]
+
+    def nothing(n: int) -> pa.Array:
+        return pa.nulls(n, pa.int64())
+
+    def paired(x: np.ndarray, ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, n = x >> SIZE_BITS, x & LARGEST
+        bounds = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        lengths = np.diff(np.append(bounds, len(h)))
+        long = np.repeat(lengths > LONG_RUN, lengths)
+        if long.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[long]), nothing(int(long.sum())), pa.array(x[long]), pa.array(place[long].astype(np.int64))], names=names)
+        ends = np.repeat(bounds + lengths, lengths)
+        at, step = np.flatnonzero(~long), 1
+        while len(at := at[at + step < ends[at]]):
+            other = at + step
+            # Sizes ascend within a run: beyond the first that is too large there is none that fits.
+            near = (n[at] * over >= n[other] * up) | (n[other] == LARGEST)
+            at, other = at[near], other[near]
+            left = np.minimum(n[at] - place[at], n[other] - place[other])
+            fits = ((left * (over + up) >= (n[at] + n[other]) * up) | (n[other] == LARGEST)) & (ids[at] != ids[other])
+            if fits.any():
+                a, b = ids[at[fits]], ids[other[fits]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), nothing(len(a)), nothing(len(a))], names=names)
+            step += 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+        for batch in batches:
+            cols = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, batch.columns, strict=True)]
+            if not len(cols[0]):
+                continue
+            cut = int(np.searchsorted(cols[0], cols[0][-1] >> SIZE_BITS << SIZE_BITS))
+            if len(cols[0]) - cut > LONG_RUN + 1:  # the last run is long already; what has come of it goes out, but for what marks it
+                part = [c[cut : len(cols[0]) - LONG_RUN - 1] for c in cols]
+                if cut:
+                    yield from paired(*(c[:cut] for c in cols))
+                yield pa.RecordBatch.from_arrays([pa.array(part[1]), nothing(len(part[1])), pa.array(part[0]), pa.array(part[2].astype(np.int64))], names=names)
+                cut = len(cols[0]) - LONG_RUN - 1
+            elif cut:
+                yield from paired(*(c[:cut] for c in cols))
+            held = [c[cut:] for c in cols]
+        if len(held[0]):
+            yield from paired(*held)
+
+    return run
+
+
 class Similar:
     """Pairs of similar records and their classes of equal text; build it once, as it counts and checkpoints."""
 
@@ -249,17 +302,13 @@ class Similar:
         postings = checkpointed(prefix)
         del exploded, shared, prefix
         release_shuffles(spark)
-        h, n = F.shiftright("x", SIZE_BITS), F.col("x").bitwiseAND(F.lit(LARGEST))
-        # Grid over the embedding's total: cells grow by 1/t, so a partner's size is in this cell or the next.
-        cell = F.floor(F.log(n.cast("double")) / F.log(F.lit(float(1 / t))) + 1e-9).cast("int")
-        small = postings.select(h.alias("h"), cell.alias("cell"), F.col("id").alias("id_s"), n.alias("n_s"), F.col("place").alias("at_s"))
-        large = postings.select(h.alias("h"), F.explode(F.array(cell, cell - 1)).alias("cell"), F.col("id").alias("id_l"), n.alias("n_l"), F.col("place").alias("at_l"))
-        fits = (F.col("n_l") >= F.col("n_s")) & ((F.col("n_s") * t.denominator >= F.col("n_l") * t.numerator) | (F.col("n_l") == LARGEST)) & ((F.col("n_s") < F.col("n_l")) | (F.col("id_s") < F.col("id_l")))
-        # From its first common shingle on, a pair can share no more than what is left of either record.
-        left = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
-        fits = fits & ((left * (t.denominator + t.numerator) >= (F.col("n_s") + F.col("n_l")) * t.numerator) | (F.col("n_l") == LARGEST))
-        near = small.join(large, ["h", "cell"]).where(fits).select("id_s", "id_l").distinct()
-        near = checkpointed(near)
+        by_shingle = postings.repartition(parts, F.shiftright("x", SIZE_BITS)).sortWithinPartitions("x")
+        found = checkpointed(by_shingle.mapInArrow(_pairs(t), "id_s bigint, id_l bigint, x bigint, place bigint").distinct())
+        near = found.where("x IS NULL").select("id_s", "id_l")
+        if found.where("x IS NOT NULL").limit(1).count():
+            near = checkpointed(near.unionByName(self._pairs_of_long_runs(found.where("x IS NOT NULL"))).distinct())
+        del by_shingle
+        release_shuffles(spark)
         ids = checkpointed(near.select(F.explode(F.array("id_s", "id_l")).alias("id")).distinct())
         embedded = rows_with_keys(docs, ids, "id").mapInArrow(_embedded(self.size, self.min_words), "id bigint, n int, segments binary").dropDuplicates(["id"])
         both = near.join(embedded.select(F.col("id").alias("id_s"), F.col("n").alias("n_s"), F.col("segments").alias("seg_s")), "id_s")
@@ -272,6 +321,24 @@ class Similar:
         exact = exact.where(F.col("shared") * t.denominator >= F.col("either") * t.numerator)
         return exact.select(F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b"), "shared", "either")
 
+    def _pairs_of_long_runs(self, rows: DataFrame) -> DataFrame:
+        """Candidate pairs of shingles that very many records have in their prefix: a join of grid cells over the embedding's
+        total, each cell cut into salted blocks that meet each other in different tasks."""
+        t, blocks = self.t, 16
+        h, n = F.shiftright("x", SIZE_BITS), F.col("x").bitwiseAND(F.lit(LARGEST))
+        # Cells grow by 1/t, so a larger partner's size is in the same cell or the next.
+        cell = F.floor(F.log(n.cast("double")) / F.log(F.lit(float(1 / t))) + 1e-9).cast("int")
+        block = F.pmod(F.xxhash64("id_s"), F.lit(blocks)).cast("int")
+        small = rows.select(h.alias("h"), cell.alias("cell"), block.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("theirs"), F.col("id_s").alias("a"), n.alias("n_s"), F.col("place").alias("at_s"))
+        large = rows.select(h.alias("h"), F.explode(F.array(cell, cell - 1)).alias("cell"), block.alias("theirs"), F.col("id_s").alias("b"), n.alias("n_l"), F.col("place").alias("at_l"))
+        large = large.withColumn("mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        whole = F.col("n_l") == LARGEST
+        fits = (F.col("n_l") >= F.col("n_s")) & ((F.col("n_s") * t.denominator >= F.col("n_l") * t.numerator) | whole) & ((F.col("n_s") < F.col("n_l")) | (F.col("a") < F.col("b")))
+        left = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
+        fits = fits & ((left * (t.denominator + t.numerator) >= (F.col("n_s") + F.col("n_l")) * t.numerator) | whole)
+        pairs = small.join(large, ["h", "cell", "mine", "theirs"]).where(fits)
+        return pairs.select(F.least("a", "b").alias("id_s"), F.greatest("a", "b").alias("id_l")).distinct()
+
     def expanded(self, pairs: DataFrame) -> DataFrame:
         """``(id_a, id_b)`` of records: the pairs of representatives with all their copies, and the pairs of copies."""
         reps = self._eligible_copies()
