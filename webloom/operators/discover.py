@@ -70,6 +70,7 @@ def depth_first(links: DataFrame, seeds: Sequence[str], max_depth: int = 2, max_
     ``most_links`` of them raise.
     """
     spark = links.sparkSession
+    links = links.where(~urls.has_skip_extension(F.col("dst")))
     near = breadth_first(links, spark.createDataFrame([(u, i) for i, u in enumerate(seeds)], "url string, place int"), max_depth)
     rows = links.join(near.select(F.col("url").alias("src")), "src", "left_semi").limit(most_links + 1).collect()
     if len(rows) > most_links:
