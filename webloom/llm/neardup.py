@@ -196,6 +196,8 @@ def _prefixes(threshold: Fraction):
     """Of ``(id, r)`` sorted by both those within the record's prefix, with their place in it; a record may span batches."""
 
     def chosen(ids: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (ids[1:] != ids[:-1]) | (r[1:] != r[:-1]))
+        ids, r = ids[new], r[new]  # a record that was delivered twice has each shingle twice
         bounds = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         shared = np.diff(np.append(bounds, len(ids)))
         total = r[bounds] & LARGEST
