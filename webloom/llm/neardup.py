@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from webloom.operators.sized import checkpointed, release_shuffles, rows_with_keys, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
-SEGMENTS = 128  # a byte a segment; a count above 255 stays 255, which keeps the bound
+SEGMENTS = 64  # four bits a segment; a count above 15 stays 15, which keeps the bound
+GATHERED = 500_000  # shared shingles of a task that are sorted by record before they go out, so that a record's go in one row
 SATURATED = 4096  # frequencies are compared up to here, so a run of equal shingles is never held whole
 LONG_RUN = 20_000  # records that share a shingle within their prefixes and are compared in one task; longer runs are joined in cells
 # A shingle travels as one long: 40 bits of hash, which order and join shingles (two that fall together only add a
@@ -137,9 +138,10 @@ def _embedded(size: int, min_words: int):
             of, s = shingle_sets(_texts(batch), size, min_words, hasher)
             rows, dense = np.unique(of, return_inverse=True)
             counts = np.bincount(dense * SEGMENTS + (s % np.uint64(SEGMENTS)).astype(np.int64), minlength=len(rows) * SEGMENTS)
-            packed = np.minimum(counts, 255).astype(np.uint8)
+            nibbles = np.minimum(counts, 15).astype(np.uint8).reshape(-1, 2)
+            packed = nibbles[:, 0] << 4 | nibbles[:, 1]
             n = np.bincount(dense, minlength=len(rows)).astype(np.int32)
-            segments = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SEGMENTS), len(rows), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+            segments = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SEGMENTS // 2), len(rows), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(_ids(batch, rows)), pa.array(n), segments], names=["id", "n", "segments"])
 
     return run
@@ -152,7 +154,8 @@ def _close(threshold: Fraction):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for c in ("seg_s", "seg_l"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS // 2) for c in ("seg_s", "seg_l"))
+            a, b = (np.concatenate([v >> 4, v & 15], axis=1).astype(np.int16) for v in (a, b))
             total = batch.column("n_s").to_numpy(zero_copy_only=False).astype(np.int64) + batch.column("n_l").to_numpy(zero_copy_only=False)
             keep = pa.array(np.abs(a - b).sum(axis=1, dtype=np.int64) * up <= total * down)
             yield batch.select(["id_s", "id_l"]).filter(keep)
@@ -160,14 +163,30 @@ def _close(threshold: Fraction):
     return run
 
 
+def _by_record(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Shared shingles ``(x, id, df)`` as one row a record: its size and, in six bytes each, logarithm of frequency and hash."""
+    x, ids, df = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.argsort(ids, kind="stable")
+    x, ids, df = x[order], ids[order], df[order]
+    value = np.floor(np.log2(np.maximum(df, 1)) * 2).astype(np.uint64) << np.uint64(40) | (x >> SIZE_BITS).astype(np.uint64)
+    data = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.empty(0, np.int64)
+    offsets = (np.append(starts, len(ids)) * 6).astype(np.int32)
+    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array((x[starts] & LARGEST).astype(np.int32)), blobs], names=["id", "n", "shingles"])
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``(x, id)`` sorted by ``x`` those whose shingle occurs twice or more, as ``(id, r)`` with the logarithm of its
-    frequency above ``x``; a run of equal shingles may span batches."""
+    """Of ``(x, id)`` sorted by ``x`` those whose shingle occurs twice or more, as ``_by_record`` packs them; a run of equal
+    shingles may span batches."""
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def batch_of(x: np.ndarray, ids: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+    def gather(x: np.ndarray, ids: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
         keep = df > 1
-        rank = np.floor(np.log2(df[keep]) * 2).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(rank << 58 | x[keep])], names=["id", "r"])
+        parts.append((x[keep], ids[keep], df[keep]))
+        if sum(len(p[0]) for p in parts) > GATHERED:
+            yield _by_record(parts)
+            parts.clear()
 
     held = [np.empty(0, np.int64), np.empty(0, np.int64)]
     saturated: int | None = None  # the run that goes on beyond what is held
@@ -186,33 +205,44 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             df[-1] = SATURATED
         cut = len(h) if last_full else bounds[-1]
         saturated = int(h[-1]) if last_full else None
-        yield batch_of(*(c[:cut] for c in cols), np.repeat(df, lengths)[:cut])
+        yield from gather(*(c[:cut] for c in cols), np.repeat(df, lengths)[:cut])
         held = [c[cut:] for c in cols]
     if len(held[0]):
-        yield batch_of(*held, np.full(len(held[0]), min(len(held[0]), SATURATED)))
+        yield from gather(*held, np.full(len(held[0]), min(len(held[0]), SATURATED)))
+    if parts:
+        yield _by_record(parts)
 
 
 def _prefixes(threshold: Fraction):
-    """Of ``(id, r)`` sorted by both those within the record's prefix, with their place in it; a record may span batches."""
-
-    def chosen(ids: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
-        new = np.append(True, (ids[1:] != ids[:-1]) | (r[1:] != r[:-1]))
-        ids, r = ids[new], r[new]  # a record that was delivered twice has each shingle twice
+    """Of the rows of ``_by_record``, sorted by ``id``, the shingles within the record's prefix, with their place in it; a
+    record's rows may span batches."""
+
+    def chosen(ids: np.ndarray, n: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((value, ids))
+        ids, n, value = ids[order], n[order], value[order]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (value[1:] != value[:-1]))
+        ids, n, value = ids[new], n[new], value[new]  # a record that was delivered twice has each shingle twice
         bounds = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         shared = np.diff(np.append(bounds, len(ids)))
-        total = r[bounds] & LARGEST
+        total = n[bounds]
         need = -(-total * threshold.numerator // threshold.denominator)
         alone = np.maximum(total - shared, 0)  # shingles that no other record has come first
         take = np.where(total == LARGEST, shared, total - need + 1 - alone)
         rank = np.arange(len(ids)) - np.repeat(bounds, shared)
         keep = rank < np.repeat(take, shared)
-        place = np.where(np.repeat(total, shared) == LARGEST, 0, rank + np.repeat(alone, shared))
-        return pa.RecordBatch.from_arrays([pa.array((r & ((1 << 58) - 1))[keep]), pa.array(ids[keep]), pa.array(place[keep].astype(np.int32))], names=["x", "id", "place"])
+        place = np.where(n == LARGEST, 0, rank + np.repeat(alone, shared))
+        x = (value & ((1 << 40) - 1)) << SIZE_BITS | n
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(ids[keep]), pa.array(place[keep].astype(np.int32))], names=["x", "id", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64)]
+        held = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            cols = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, batch.columns, strict=True)]
+            blobs = batch.column(2).to_pylist()
+            sizes = np.array([len(b) // 6 for b in blobs], dtype=np.int64)
+            wide = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+            wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+            own = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for c in (0, 1)]
+            cols = [np.concatenate([a, b]) for a, b in zip(held, [*own, wide.view("<i8").ravel().astype(np.int64)], strict=True)]
             if len(cols[0]):
                 cut = int(np.searchsorted(cols[0], cols[0][-1]))
                 if cut:
@@ -299,8 +329,8 @@ class Similar:
         docs = self._distinct_docs()
         parts = shuffle_partitions(spark)
         exploded = docs.mapInArrow(_exploded(self.size, self.min_words), "x bigint, id bigint")
-        shared = exploded.repartition(parts, F.shiftright("x", SIZE_BITS)).sortWithinPartitions("x").mapInArrow(_shared, "id bigint, r bigint")
-        prefix = shared.repartition(parts, "id").sortWithinPartitions("id", "r").mapInArrow(_prefixes(t), "x bigint, id bigint, place int")
+        shared = exploded.repartition(parts, F.shiftright("x", SIZE_BITS)).sortWithinPartitions("x").mapInArrow(_shared, "id bigint, n int, shingles binary")
+        prefix = shared.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_prefixes(t), "x bigint, id bigint, place int")
         postings = checkpointed(prefix)
         del exploded, shared, prefix
         release_shuffles(spark)
