@@ -30,6 +30,19 @@ def test_residue(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_hint_holds_for_every_placeholder(spark):
+    examples = [
+        "{{ name }}", "{% if x %}", "&lt;%= title %&gt;", "${title}", "#{title}", "{$page.title}", "{page.title}", "%%NAME%%", "##NAME##", "%(name)s", "a %s lamp", "[[Title]]", "[sitename]", "[/gallery]", "$TITLE$", "__TITLE__", "PAGE_TITLE_HERE",
+        "LAMP_PLACEHOLDER", "XX-TITLE-XX Lamdrua", ":page_title", "@Model.Title", "<your name>", "[object Object]", "Total: NaN", "undefined - Lamps", "TODO: text",
+    ]
+    rows = [(i, p, x) for i, (p, x) in enumerate(zip(residue.PLACEHOLDER, examples, strict=True))]
+    for i, pattern, x in rows:
+        line = spark.createDataFrame([(x,)], "x string")
+        assert line.select(F.col("x").rlike(residue._anywhere([pattern])), residue.evidence(F.col("x"))).first()[:] == (True, "placeholder"), (i, x)
+    got = residue.residue(sites(spark, [(i, "h.test", x, None, "real text") for i, _, x in rows]))
+    assert sorted(r.doc_id for r in got.collect()) == [i for i, _, _ in rows]
+
+
 def test_residue_subtracts_boilerplate(spark):
     notice = "This site requires JavaScript."
     rows = [(i, "h.test", f"t{i}", None, f"text {'abcdefghij'[i]}\n{notice}") for i in range(10)] + [(100 + i, "e.test", "", None, notice) for i in range(6)] + [(200, None, "", None, notice)]

@@ -88,7 +88,7 @@ SCRIPT = [
 
 
 # Any placeholder holds one of these; the check keeps the long alternation off plain lines.
-HINT = r"(?iu)[{}<>\[$#@_]|&lt;|%[(%sd]|:[a-z]+_|\bnan\b|^null\b|^undefined\b|^todo|^insert"
+HINT = r"(?iu)[{}<>\[$#@_]|&lt;|%[(%sd]|:[a-z]+_|xx+-[a-z]+-xx|\bnan\b|^null\b|^undefined\b|^todo|^insert"
 
 
 def _anywhere(patterns: list[str]) -> str:
