@@ -43,6 +43,16 @@ def test_hint_holds_for_every_placeholder(spark):
     assert sorted(r.doc_id for r in got.collect()) == [i for i, _, _ in rows]
 
 
+def test_residue_of_long_lines(spark):
+    latin = " ".join(residue.LATIN)
+    found = {1: latin + ". " + latin, 2: f"{latin}, " * 2000 + "dolor (ref ab-cd)", 3: "Cannot GET /" + "a" * 700, 4: " " * 700 + "Please enable JavaScript.", 5: "bla " * 20_000, 6: "xxx, " * 20_000, 7: "x" * 90_000, 8: "404 -" + " " * 20_000, 9: "Your text goes here. " * 9000}
+    clean = {20: f"{latin} " * 2000 + "is what printers set before the words are there", 21: "x" * 90_000 + "y", 22: "404 - " + "a room with a view " * 50, 23: "404 -" + " " * 20_000 + "x" * 99, 24: "test " * 9000 + "is said often", 25: "xxxx xx " * 900}
+    rows = [(i, "h.test", "Real", None, "real text\n" + x) for i, x in (found | clean).items()] + [(100 + i, "h.test", x, None, None) for i, x in (found | clean).items()]
+    got = {r.doc_id: r.kind for r in residue.residue(sites(spark, rows)).collect()}
+    kinds = {i: {3: "error", 4: "script", 8: "error"}.get(i, "filler") for i in found}
+    assert got == kinds | {100 + i: k for i, k in kinds.items()}
+
+
 def test_residue_subtracts_boilerplate(spark):
     notice = "This site requires JavaScript."
     rows = [(i, "h.test", f"t{i}", None, f"text {'abcdefghij'[i]}\n{notice}") for i in range(10)] + [(100 + i, "e.test", "", None, notice) for i in range(6)] + [(200, None, "", None, notice)]

@@ -17,6 +17,9 @@ from webloom.llm.lines import exploded_lines, frequent_lines, line_bitmaps, sour
 # A trailing reference such as "(ref abcd-efgh)" doesn't belong to the message.
 REFERENCE = r"(?:\s*[(\[](?:ref|id|node|trace|request|incident|ray|code)\b[ :#.]*[\w-]+[)\]])?\s*$"
 
+# Lines may be of any length.  A group repeated without bound takes the possessive form ``{n,}+``, which is a loop in the regex engine where the
+# plain one is a recursion that a long line breaks; each such group ends where the next word can't, so that nothing is lost by not going back.
+
 # Words of the usual pseudo-Latin filler (fixed values).
 LATIN = (
     "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
@@ -54,7 +57,7 @@ PLACEHOLDER = [
     r"^todo: ",
 ]
 ERROR = [
-    r"(?:http |http error |error |erreur |fehler(?:code)? |status )?[45]\d\d(?:\s*[-–—:.]\s*.{0,60})?",
+    r"(?:http |http error |error |erreur |fehler(?:code)? |status )?[45]\d\d(?:\s*+[-–—:.]\s*+.{0,60})?",
     r"(?:http |error )?[45]\d\d (?:bad gateway|not found|service (?:temporarily )?unavailable|forbidden|internal server error|gateway time-?out|unauthorized|bad request|gone|too many requests)\b.{0,30}",
     r"(?:page|site|file) (?:not found|introuvable)|not found|forbidden|unauthorized|gone|bad gateway|service unavailable|access denied|internal server error(?:\. try again later\.?)?",
     r"too many requests|session expired|account suspended|just a moment(?:\.\.\.|…)?|error|server error|maintenance|loading(?:\.\.\.|…)?",
@@ -69,11 +72,11 @@ ERROR = [
     r"fatal error: .{0,100}|warning: undefined .{0,120}|traceback \(most recent call last\):?.{0,100}|\w+error: '?[\w./ -]{1,60}'?|\w*exception at .{1,80}|application error: .{0,100}|sqlstate\[\w+\]: .{0,120}|cannot (?:get|post) /\S*|stack trace:.{0,100}",
 ]
 FILLER = [
-    r"(?:(?:" + "|".join(LATIN) + r")\b[\s.,;:!?…-]*){2,}(?:\w{1,12}…?)?",
+    r"(?:(?:" + "|".join(LATIN) + r")\b[\s.,;:!?…-]*){2,}+(?:\w{1,12}…?)?",
     r"untitled(?: document| page)?|sample page|new page|home copy \d+|test page(?:, please ignore\.?)?",
-    r"(?:bla[ ,.]*){3,}|(?:x{3,}[ ,.]*){2,}|(?:(?:asdf|qwerty|jkl|test)[ ,.]*){3,}|(?:(?:foo|bar|baz|qux)[ ,.]*){3,}",
-    r"blindtext, hier steht sp[aä]ter der richtige text\.?|(?:contenido de ejemplo[. ]*)+|tu wpisz tre[sś][cć] strony\.?|texte? de remplissage, [aà] modifier plus tard\.?",
-    r"(?:your text goes here[. ]*)+|(?:sample text[. ]*)+(?:click to edit\.?)?|dummy copy for the \S+(?: \S+)? block\.?|body copy to follow\.?|insert \S+(?: \S+)? text here\.?",
+    r"(?:bla[ ,.]*){3,}+|(?:x{6,}+[ ,.]*|x{3,}+[ ,.]+(?=x))(?:x{3,}+[ ,.]*)*+|(?:(?:asdf|qwerty|jkl|test)[ ,.]*){3,}+|(?:(?:foo|bar|baz|qux)[ ,.]*){3,}+",
+    r"blindtext, hier steht sp[aä]ter der richtige text\.?|(?:contenido de ejemplo[. ]*)++|tu wpisz tre[sś][cć] strony\.?|texte? de remplissage, [aà] modifier plus tard\.?",
+    r"(?:your text goes here[. ]*)++|(?:sample text[. ]*)++(?:click to edit\.?)?|dummy copy for the \S+(?: \S+)? block\.?|body copy to follow\.?|insert \S+(?: \S+)? text here\.?",
     r"add your own content here\. double click to change me\.?|this is a placeholder page\. content coming soon\.?|under construction\. please check back later\.?",
     r"(?:default (?:heading|paragraph)|button label|heading \d)\.?|(?:content )?coming soon\.?|\[?your (?:headline|title|text) here\]?",
 ]
@@ -88,7 +91,7 @@ SCRIPT = [
 
 
 # Any placeholder holds one of these; the check keeps the long alternation off plain lines.
-HINT = r"(?iu)[{}<>\[$#@_]|&lt;|%[(%sd]|:[a-z]+_|xx+-[a-z]+-xx|\bnan\b|^null\b|^undefined\b|^todo|^insert"
+HINT = r"(?iu)[{}<>\[$#@_]|&lt;|%[(%sd]|:[a-z]+_|xx-[a-z]+-xx|\bnan\b|^null\b|^undefined\b|^todo|^insert"
 
 
 def _anywhere(patterns: list[str]) -> str:
@@ -103,7 +106,6 @@ def evidence(line: Column) -> Column:
     """The kind of evidence that one line holds, or NULL; NULL and blank lines hold none."""
     return (
         F.when(line.rlike(HINT) & line.rlike(_anywhere(PLACEHOLDER)), "placeholder")
-        .when(F.length(line) > 600, None)
         .when(line.rlike(_whole(ERROR)), "error")
         .when(line.rlike(_whole(SCRIPT)), "script")
         .when(line.rlike(_whole(FILLER)), "filler")
