@@ -59,6 +59,13 @@ def test_residue_subtracts_boilerplate(spark):
     assert sorted(r.doc_id for r in residue.residue(sites(spark, rows)).collect()) == [100, 101, 102, 103, 104, 105, 200]
 
 
+def test_recurrent_placeholder_counts(spark):
+    footer, notice = "© {{ site.owner }}, all rights reserved", "Please enable JavaScript."
+    rows = [(i, "h.test", f"t{i}", None, f"text {'abcdefghij'[i]}\n" + (footer if i < 6 else notice)) for i in range(10)] + [(20, "h.test", "t", None, f"{footer}\n{notice}")]
+    rows += [(30 + i, "j.test", "t", None, f"text {'abcdefghij'[i]}\n{notice}") for i in range(10)]
+    assert {r.doc_id: r.kind for r in residue.residue(sites(spark, rows)).collect()} == dict.fromkeys([*range(6), 20], "placeholder")
+
+
 def test_repeated_lines_against_brute_force(spark):
     r = random.Random(2)
     lines = ["Share  THIS page", " share this page 12", "Page 1 of 9", "page 3 of 22", "", "  ", "unique {}"]

@@ -3,7 +3,8 @@ r"""Problem 1: template residue, filler, error pages and script notices.
 Method: normalised lines are counted by host (document bitmaps, see ``lines``), recurrent
 boilerplate is subtracted, and a record is excluded when what remains holds evidence.  Four kinds
 of evidence are told apart: ``placeholder`` may stand anywhere in a line, ``error``, ``filler`` and
-``script`` must be the whole line.  A record that consists of nothing but recurrent lines is judged
+``script`` must be the whole line.  A placeholder counts in recurrent lines too, since boilerplate that
+was never filled in is a case on each of its pages.  A record that consists of nothing but recurrent lines is judged
 by those lines, so that an error page served under many addresses is still found.
 """
 
@@ -135,7 +136,7 @@ def residue(df: DataFrame, id_col: str = "site_id", host_col: str = "domain", ti
     judged = marked.join(frequent, "line_key", "left").join(sizes, "host", "left")
     recurrent = F.coalesce(F.col("n_docs") >= F.col("host_docs") * min_share, F.lit(False))
     by_doc = judged.groupBy("doc_id").agg(
-        F.min(F.when(~recurrent, F.col("kind"))).alias("residual"),
+        F.min(F.when(~recurrent | (F.col("kind") == "placeholder"), F.col("kind"))).alias("residual"),
         F.count_if(~recurrent).alias("n_residual"),
         F.min("kind").alias("anywhere"),
     )
