@@ -1,5 +1,6 @@
 from webloom import schema
-from webloom.operators import audit
+from webloom.functions import dom
+from webloom.operators import audit, parse
 from webloom.operators.extract import extract
 
 SAMPLE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Shop — lamps
@@ -42,6 +43,27 @@ def test_empty_null_and_broken_pages(spark):
     assert extract(spark.createDataFrame([], "url string, html string")).count() == 0
 
 
+def test_unclosed_inline_elements(spark):
+    page = "<head><title>T</title></head><body><p>start " + "".join(f"<span> w{i} <font>" for i in range(20_000)) + "<b> end </b> <i> </i>"
+    got = rows(spark, [("https://a.test/", page), ("https://a.test/", "<p>a <b> b <i> c </i> <br></b>d<img alt=' e '> <u> </u>\u200b f")])
+    text = "start " + "".join(f"w{i} " for i in range(20_000)) + "end"
+    assert (got[0]["page_title"], got[0]["fetch_error"], got[0]["visible_text_preview"], got[0]["character_count"]) == ("T", "", text[:500], len(text))
+    assert got[1]["visible_text_preview"] == "a b cde f"
+
+
+def test_unreadable_page_gives_its_reason(spark, monkeypatch):
+    def broken(html, base):
+        raise ValueError("no tree")
+
+    monkeypatch.setattr(dom, "page_facts", broken)
+    parse._udf.cache_clear()
+    try:
+        df = spark.createDataFrame([("https://a.test/1", "<p>x", ""), ("https://a.test/2", "<p>x", "cut off")], "url string, html string, fetch_error string")
+        assert [r.fetch_error for r in extract(df).orderBy("url").collect()] == ["Page not read: ValueError: no tree", "cut off"]
+    finally:
+        parse._udf.cache_clear()
+
+
 def test_one_parse_and_clean_audit(spark):
     df = spark.createDataFrame([("https://shop.test/", SAMPLE, 7)], "url string, html string, clues int")
     out = extract(df, ("clues",))

@@ -149,20 +149,35 @@ def hidden(node: Node) -> bool:
 def text_of(node: Node) -> str:
     """Text of a leaf block; a comment within counts as text, an image by its description."""
     parts: list[str] = []
-    stack = list(reversed(node.children))
+    starts = [0]  # where the texts of the open elements begin in parts
+    stack: list = list(reversed(node.children))
+
+    def add(text: str) -> None:
+        text = NARROW.sub(" ", text).replace("​", "")
+        if text := text if len(parts) > starts[-1] else text.lstrip():
+            parts.append(text)
+
     while stack:
         x = stack.pop()
-        if not isinstance(x, Node):
-            parts.append(x)
+        if x is None:
+            # A nested element's text is trimmed before it's joined.
+            start = starts.pop()
+            while len(parts) > start:
+                parts[-1] = parts[-1].rstrip()
+                if parts[-1]:
+                    break
+                parts.pop()
+        elif not isinstance(x, Node):
+            add(x)
         elif x.tag == "br":
-            parts.append(" ")
+            add(" ")
         elif x.tag == "img":
-            if x.attrs.get("alt"):
-                parts.append(x.attrs["alt"].strip())
+            add(x.attrs.get("alt", "").strip())
         elif x.tag not in SKIPPED and not hidden(x):
-            # A nested element's text is trimmed before it's joined.
-            parts.append(text_of(x))
-    return spaced(NARROW.sub(" ", "".join(parts)).replace("​", ""))
+            starts.append(len(parts))
+            stack.append(None)
+            stack.extend(reversed(x.children))
+    return spaced("".join(parts))
 
 
 def blocks(root: Node) -> list[tuple[str, str]]:

@@ -95,8 +95,9 @@ def extract(fetched: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The 90 typed columns of each fetched page, after the columns ``keep``.
 
     ``fetched`` has ``url`` and ``html`` and may have ``final_url, http_status, fetch_status, fetch_error, timing`` (milliseconds),
-    ``headers`` and ``page_size_bytes``; what is absent or NULL counts as not given.  A NULL or empty page gives the request's columns only.  The page
-    is parsed once; no row is shuffled and every input row gives one row.
+    ``headers`` and ``page_size_bytes``; what is absent or NULL counts as not given.  A NULL or empty page gives the request's columns only; of a
+    page that can't be read ``fetch_error`` has the reason, unless the fetch gave one.  The page is parsed once; no row is shuffled and every input row
+    gives one row.
     """
     have = set(fetched.columns)
 
@@ -110,6 +111,7 @@ def extract(fetched: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
     p, html = F.col("p"), F.col("html")
     parsed = base.withColumn("p", parse_page(html, F.col("final_url"))).withColumn("domain", urls.host(F.col("final_url")))
+    parsed = parsed.withColumn("fetch_error", _or(F.col("fetch_error"), F.concat(F.lit("Page not read: "), F.nullif(p["error"], F.lit("")))))
     meta = {"meta_description": "description", "meta_keywords": "keywords", "twitter_card": "twitter:card", "twitter_title": "twitter:title", "twitter_description": "twitter:description", "twitter_image": "twitter:image", "robots_meta": "robots", "viewport": "viewport", "generator": "generator"}
     og = ("og_title", "og_description", "og_type", "og_image", "og_url", "og_site_name", "og_locale")
     handle = _or(_meta(p, "name", "twitter:site"), _meta(p, "name", "twitter:creator"))
