@@ -1,5 +1,6 @@
 import datetime
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
@@ -87,6 +88,37 @@ def test_fetch_and_run(spark, tmp_path):
     assert http.get("http://127.0.0.1:1/", retries=1, wait=lambda s: None)["attempts"] == 2
 
 
+class Ruled(BaseHTTPRequestHandler):
+    seen: list = []
+
+    def do_GET(self):
+        Ruled.seen.append(self.path)
+        pages = {"/robots.txt": "User-agent: *\nDisallow: /no\nCrawl-delay: 1\n", "/a": "<meta http-equiv='refresh' content='0; url=/b'>", "/b": "<meta http-equiv='refresh' content='0; url=/c'>", "/c": "<h1>End</h1>"}
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(pages.get(self.path, "<h1>x</h1>").encode())
+
+    def log_message(self, *a):
+        pass
+
+
+def test_fetch_keeps_robots_rules_and_follows_refreshes(spark):
+    server = HTTPServer(("127.0.0.1", 0), Ruled)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        wanted = spark.createDataFrame([(base + p,) for p in ("/a", "/no/1", "/d")], "url string")
+        start = time.monotonic()
+        got = {r.url[len(base) :]: (r.fetch_status, r.final_url[len(base) :], r.http_status, r.robots_checked, r.attempts) for r in http.fetch(wanted, retries=0).collect()}
+        assert got == {"/a": ("ok", "/c", 200, True, 1), "/no/1": ("robots_disallowed", "/no/1", None, True, 0), "/d": ("ok", "/d", 200, True, 1)}
+        assert time.monotonic() - start >= 1 and "/no/1" not in Ruled.seen and Ruled.seen.count("/robots.txt") == 1
+        pool = http.Proxies(["http://127.0.0.1:1", base])
+        rows = [http.get("http://site.invalid/", retries=1, wait=lambda s: None, pool=pool) for _ in range(4)]
+        assert {(r["fetch_status"], r["proxy"]) for r in rows} == {("ok", base)} and pool.failures == {"http://127.0.0.1:1": 3, base: 0}
+    finally:
+        server.shutdown()
+
+
 def test_settings(tmp_path, monkeypatch):
     (tmp_path / "webloom.toml").write_text("[network]\ntimeout = 5\nretries = 'bad'\n")
     monkeypatch.setenv("WEBLOOM_DELAY", "0.5")

@@ -13,7 +13,7 @@ from webloom.operators import audit, fetchlog
 from webloom.operators.discover import breadth_first, link_table
 from webloom.operators.extract import extract
 from webloom.sources import http, sinks
-from webloom.sources.url_lists import read_urls
+from webloom.sources.url_lists import read_proxies, read_urls
 
 
 @dataclass(frozen=True)
@@ -26,6 +26,8 @@ class Settings:
     max_depth: int = 2
     max_urls: int = 1000
     retry_failed: bool = False
+    robots: bool = True
+    proxy_file: str = ""
     format: str = ""
 
 
@@ -65,7 +67,8 @@ def run(spark: SparkSession, source: str | DataFrame, output: str, settings: Set
     wanted = read_urls(spark, source) if isinstance(source, str) else source
     if resume:
         wanted = fetchlog.pending(wanted, sinks.done_urls(spark, output, s.format or None), retry_failed=s.retry_failed)
-    fetched = http.fetch(wanted, s.delay, timeout=s.timeout, retries=s.retries, most_bytes=s.max_response_bytes, agent=s.user_agent)
+    proxies = [r.proxy for r in read_proxies(spark, s.proxy_file).orderBy("seq").collect()] if s.proxy_file else []
+    fetched = http.fetch(wanted, s.delay, s.robots, proxies, timeout=s.timeout, retries=s.retries, most_bytes=s.max_response_bytes, agent=s.user_agent)
     rows = extract(fetched)
     name = s.format or sinks.detect_format(output)
     sinks.write(rows, output, name, **({"mode": "append" if resume else "errorifexists"} if name in ("csv", "jsonl", "parquet") else {}))

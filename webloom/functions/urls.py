@@ -169,9 +169,12 @@ def brand_from_domain(domain: Column) -> Column:
     return F.when(F.coalesce(domain, F.lit("")) == "", "").otherwise(F.array_join(capital, " "))
 
 
+META_REFRESH = r"""(?i)<meta[^>]+http-equiv=["']?refresh["']?[^>]+content=["']\s*\d+\s*;\s*url\s*=\s*["']?([^"'>\s]+)"""
+
+
 def meta_refresh_target(html: Column) -> Column:
     """The address that a page's refresh names, not yet resolved; ``''`` if there is none."""
-    return F.trim(F.coalesce(F.regexp_extract(html, r"""(?i)<meta[^>]+http-equiv=["']?refresh["']?[^>]+content=["']\s*\d+\s*;\s*url\s*=\s*["']?([^"'>\s]+)""", 1), F.lit("")))
+    return F.trim(F.coalesce(F.regexp_extract(html, META_REFRESH, 1), F.lit("")))
 
 
 def register(spark) -> None:
