@@ -1,22 +1,27 @@
 """Problem 5: near-duplicate records.
 
-Similarity is the Jaccard coefficient of the sets of word shingles.  Method: a record's shingle
-fingerprint is embedded as counts of set bits per segment.  The Manhattan distance of two embeddings never exceeds
-the number of shingles that only one record has, so pairs beyond the allowed difference are dropped
-without their sets, and the rest is verified on the exact sets.
-
-A grid over the embedding alone can't find pairs at these thresholds: at a similarity of 0.5 the allowed
-distance is a third of both records' sizes, which covers every cell around a record in any grid of few
-dimensions.  So the grid, over the embedding's total, is joined within the records that share a rare
-shingle: with shingles ordered from rare to frequent, two records of similarity ``t`` share one of the
-first ``n - ceil(t n) + 1`` of each (prefix filtering), which loses no pair.
-
-Records of equal texts form one class, of which only the least id is compared.
+Similarity is the Jaccard coefficient of the sets of word shingles.  A record's fingerprint is its set of shingles, 48 bits of
+hash each.  The fingerprint is embedded as counts of set bits per segment of the hash range; the Manhattan distance of two
+embeddings never exceeds the number of shingles that only one record has, so a pair beyond the allowed difference is dropped
+without its sets, and the rest is verified on the exact sets.
+
+A grid over the embedding alone can't find the pairs: at a similarity of 0.5 the allowed distance is a third of both
+records' sizes, as wide as the spread of the embedding's coordinates, so that any grid of few dimensions joins nearly every
+cell with every other (the README has the measured shares).  So the grid's first coordinate is a rare shingle, and its second
+the record's size, range-joined under the same bound.  With shingles ordered from rare to frequent, two records of similarity ``t`` share
+one of the first ``n - ceil(t n) + 1`` of each (prefix filtering), which loses no pair; beyond it the place in the order bounds the overlap.
+
+How rare a shingle is comes from a sketch of counters, of a fixed size whatever the corpus.  Any order that all records
+share is right; the sketch only makes it a good one.
+
+Records of equal sets form one class and are compared once.  A class is known by the 64-bit hash of its set; pairs are verified on
+the sets themselves.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
@@ -25,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.operators.sized import checkpointed, release_shuffles, rows_with_keys, shuffle_partitions
+from webloom.operators.sized import checkpointed, rows_with_keys, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENTS = 64  # four bits a segment; a count above 15 stays 15, which keeps the bound
-GATHERED = 500_000  # shared shingles of a task that are sorted by record before they go out, so that a record's go in one row
-SATURATED = 4096  # frequencies are compared up to here, so a run of equal shingles is never held whole
-LONG_RUN = 20_000  # records that share a shingle within their prefixes and are compared in one task; longer runs are joined in cells
+SKETCH_BITS = 24  # logarithm of the sketch's counters: 16 MB once they are levels, sent to every executor
+SKETCH_BLOCKS = 64
+LONG_RUN = 20_000  # records that share a shingle within their prefixes and are compared in one task; longer runs are joined in salted cells
+REMEMBERED = 500_000  # words, or classes, that a task remembers before it forgets them all
 # A shingle travels as one long: 40 bits of hash, which order and join shingles (two that fall together only add a
 # candidate), and 18 bits of its record's size.  A record beyond that size has its whole set as prefix.
 SIZE_BITS, LARGEST = 18, (1 << 18) - 1
@@ -56,7 +62,7 @@ class _Words:
 
     def __call__(self, words: list[str]) -> list[int]:
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         out = []
         for w in words:
@@ -68,7 +74,7 @@ class _Words:
 
 
 def shingle_sets(texts: Sequence[Sequence[str | None]], size: int, min_words: int, hasher: _Words) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and hashes of the distinct shingles of rows whose last text has ``min_words`` words, sorted by both."""
+    """Row numbers and 48-bit hashes of the distinct shingles of rows whose last text has ``min_words`` words, sorted by both."""
     rows, starts, flat = [], [0], []
     for i, parts in enumerate(texts):
         last = WORD.findall((parts[-1] or "").lower())
@@ -82,188 +88,134 @@ def shingle_sets(texts: Sequence[Sequence[str | None]], size: int, min_words: in
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = np.array(flat, dtype=np.uint64)
-    lengths = np.diff(starts)
-    of = np.repeat(np.array(rows, dtype=np.int64), lengths)
+    of = np.repeat(np.array(rows, dtype=np.int64), np.diff(starts))
     k = len(h) - size + 1
     with np.errstate(over="ignore"):
         s = np.zeros(k, dtype=np.uint64)
         for j in range(size):
             s = _mixed(s * _MULTIPLIERS[0] + h[j : j + k] + _MULTIPLIERS[1 + j % 7])
     inside = of[:k] == of[size - 1 :]
-    of, s = of[:k][inside], s[inside]
-    order = np.lexsort((s, of))
-    of, s = of[order], s[order]
-    first = np.ones(len(s), dtype=bool)
-    first[1:] = (of[1:] != of[:-1]) | (s[1:] != s[:-1])
-    return of[first], s[first]
+    of, s = of[:k][inside], s[inside] >> np.uint64(16)
+    sets, at = [], 0
+    while at < len(of):  # a row number of 16 bits and a shingle sort as one number
+        base = int(of[at])
+        end = int(np.searchsorted(of, base + 65536))
+        sets.append((base, np.unique(of[at:end].astype(np.uint64) - np.uint64(base) << np.uint64(48) | s[at:end])))
+        at = end
+    return np.concatenate([(v >> np.uint64(48)).astype(np.int64) + b for b, v in sets]), np.concatenate([v & np.uint64((1 << 48) - 1) for _, v in sets])
 
 
-def _texts(batch: pa.RecordBatch) -> list[tuple]:
-    return list(zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns)), strict=True))
+def _blobs(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """48-bit values as one binary a row."""
+    data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 6).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def _ids(batch: pa.RecordBatch, of: np.ndarray) -> np.ndarray:
-    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[of]
+def _values(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of values and the values of what ``_blobs`` made."""
+    sizes = np.array([len(b) // 6 for b in blobs], dtype=np.int64)
+    wide = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+    return sizes, wide.view("<u8").ravel().astype(np.uint64)
 
 
-def _exploded(size: int, min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Words()
-        for batch in batches:
-            of, s = shingle_sets(_texts(batch), size, min_words, hasher)
-            n = np.bincount(of, minlength=batch.num_rows)[of]
-            packed = (s >> np.uint64(24) << np.uint64(SIZE_BITS)).astype(np.int64) | np.minimum(n, LARGEST)
-            yield pa.RecordBatch.from_arrays([pa.array(packed), pa.array(_ids(batch, of))], names=["x", "id"])
-
-    return run
-
+def _fingerprints(size: int, min_words: int):
+    """``(id, k, shingles)``: the class and the set of each record; of one that isn't compared the class of its text and no set,
+    and of an empty one no class either."""
+    import xxhash
 
-def _with_sets(size: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Words()
         for batch in batches:
-            of, s = shingle_sets(_texts(batch), size, min_words, hasher)
-            rows, starts = np.unique(of, return_index=True)
-            offsets = np.append(starts, len(s)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(batch, rows)), lists], names=["id", "shingles"])
+            texts = list(zip(*(batch.column(i).to_pylist() for i in range(1, batch.num_columns)), strict=True))
+            of, s = shingle_sets(texts, size, min_words, hasher)
+            offsets = np.searchsorted(of, np.arange(len(texts) + 1))
+            blobs = _blobs(s, offsets)
+            keys = [xxhash.xxh3_64_intdigest(b) if len(b) else xxhash.xxh3_64_intdigest("\0".join(t), 1) if any(t) else None for b, t in zip(blobs.to_pylist(), texts, strict=True)]
+            signed = pa.array([k if k is None or k < 1 << 63 else k - (1 << 64) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed, blobs], names=["id", "k", "shingles"])
 
     return run
 
 
-def _embedded(size: int, min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Words()
-        for batch in batches:
-            of, s = shingle_sets(_texts(batch), size, min_words, hasher)
-            rows, dense = np.unique(of, return_inverse=True)
-            counts = np.bincount(dense * SEGMENTS + (s % np.uint64(SEGMENTS)).astype(np.int64), minlength=len(rows) * SEGMENTS)
-            nibbles = np.minimum(counts, 15).astype(np.uint8).reshape(-1, 2)
-            packed = nibbles[:, 0] << 4 | nibbles[:, 1]
-            n = np.bincount(dense, minlength=len(rows)).astype(np.int32)
-            segments = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SEGMENTS // 2), len(rows), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(batch, rows)), pa.array(n), segments], names=["id", "n", "segments"])
-
-    return run
-
-
-def _close(threshold: Fraction):
-    """Of candidate pairs those whose embeddings are near enough: |A xor B| <= (1 - t) / (1 + t) (|A| + |B|) at
-    similarity t, and the Manhattan distance is at most |A xor B|."""
-    up, down = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
+def _sketch_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(block, counters)``: how often shingles fell into each counter of the task's rows."""
+    counters = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+    for batch in batches:
+        _, s = _values(batch.column(0).to_pylist())
+        np.add.at(counters, s >> np.uint64(48 - SKETCH_BITS), 1)
+    blocks = np.minimum(counters, 65535).astype(np.uint16).reshape(SKETCH_BLOCKS, -1)
+    parts = [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(blocks) if b.any()]
+    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["block", "counters"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS // 2) for c in ("seg_s", "seg_l"))
-            a, b = (np.concatenate([v >> 4, v & 15], axis=1).astype(np.int16) for v in (a, b))
-            total = batch.column("n_s").to_numpy(zero_copy_only=False).astype(np.int64) + batch.column("n_l").to_numpy(zero_copy_only=False)
-            keep = pa.array(np.abs(a - b).sum(axis=1, dtype=np.int64) * up <= total * down)
-            yield batch.select(["id_s", "id_l"]).filter(keep)
 
-    return run
+def _sketch_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(block, levels)`` of parts sorted by ``block``: twice the logarithm of each sum of counters, at most 63; of no count 0."""
+    block, total = None, np.empty(0)
 
+    def level() -> pa.RecordBatch:
+        levels = np.minimum(np.log2(np.maximum(total, 1)) * 2, 63).astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())], names=["block", "levels"])
 
-def _by_record(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Shared shingles ``(x, id, df)`` as one row a record: its size and, in six bytes each, logarithm of frequency and hash."""
-    x, ids, df = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.argsort(ids, kind="stable")
-    x, ids, df = x[order], ids[order], df[order]
-    value = np.floor(np.log2(np.maximum(df, 1)) * 2).astype(np.uint64) << np.uint64(40) | (x >> SIZE_BITS).astype(np.uint64)
-    data = np.ascontiguousarray(value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-    starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.empty(0, np.int64)
-    offsets = (np.append(starts, len(ids)) * 6).astype(np.int32)
-    blobs = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array((x[starts] & LARGEST).astype(np.int32)), blobs], names=["id", "n", "shingles"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of ``(x, id)`` sorted by ``x`` those whose shingle occurs twice or more, as ``_by_record`` packs them; a run of equal
-    shingles may span batches."""
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def gather(x: np.ndarray, ids: np.ndarray, df: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = df > 1
-        parts.append((x[keep], ids[keep], df[keep]))
-        if sum(len(p[0]) for p in parts) > GATHERED:
-            yield _by_record(parts)
-            parts.clear()
-
-    held = [np.empty(0, np.int64), np.empty(0, np.int64)]
-    saturated: int | None = None  # the run that goes on beyond what is held
     for batch in batches:
-        cols = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, batch.columns, strict=True)]
-        h = cols[0] >> SIZE_BITS
-        if not len(h):
-            continue
-        bounds = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        lengths = np.diff(np.append(bounds, len(h)))
-        df = np.minimum(lengths, SATURATED)
-        if saturated is not None and h[0] == saturated:
-            df[0] = SATURATED
-        last_full = lengths[-1] >= SATURATED or (saturated is not None and h[-1] == saturated)
-        if last_full:
-            df[-1] = SATURATED
-        cut = len(h) if last_full else bounds[-1]
-        saturated = int(h[-1]) if last_full else None
-        yield from gather(*(c[:cut] for c in cols), np.repeat(df, lengths)[:cut])
-        held = [c[cut:] for c in cols]
-    if len(held[0]):
-        yield from gather(*held, np.full(len(held[0]), min(len(held[0]), SATURATED)))
-    if parts:
-        yield _by_record(parts)
-
-
-def _prefixes(threshold: Fraction):
-    """Of the rows of ``_by_record``, sorted by ``id``, the shingles within the record's prefix, with their place in it; a
-    record's rows may span batches."""
-
-    def chosen(ids: np.ndarray, n: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((value, ids))
-        ids, n, value = ids[order], n[order], value[order]
-        new = np.append(True, (ids[1:] != ids[:-1]) | (value[1:] != value[:-1]))
-        ids, n, value = ids[new], n[new], value[new]  # a record that was delivered twice has each shingle twice
-        bounds = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        shared = np.diff(np.append(bounds, len(ids)))
-        total = n[bounds]
-        need = -(-total * threshold.numerator // threshold.denominator)
-        alone = np.maximum(total - shared, 0)  # shingles that no other record has come first
-        take = np.where(total == LARGEST, shared, total - need + 1 - alone)
-        rank = np.arange(len(ids)) - np.repeat(bounds, shared)
-        keep = rank < np.repeat(take, shared)
-        place = np.where(n == LARGEST, 0, rank + np.repeat(alone, shared))
-        x = (value & ((1 << 40) - 1)) << SIZE_BITS | n
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]), pa.array(ids[keep]), pa.array(place[keep].astype(np.int32))], names=["x", "id", "place"])
+        for b, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if b != block:
+                if block is not None:
+                    yield level()
+                block, total = b, np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, dtype=np.int64)
+            total += np.frombuffer(zlib.decompress(part), np.uint16)
+    if block is not None:
+        yield level()
+
+
+def _prefixes(threshold: Fraction, levels):
+    """``(x, k, place)`` of ``(k, shingles)``: the shingles within the record's prefix that occur elsewhere, with their place in it."""
+
+    def chosen(k: np.ndarray, sizes: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        level = levels.value[s >> np.uint64(48 - SKETCH_BITS)].astype(np.uint64)
+        row = np.repeat(np.arange(len(k), dtype=np.uint64), sizes)
+        order = np.sort(row << np.uint64(54) | level << np.uint64(48) | s)
+        own = np.repeat(np.arange(len(k)), sizes)
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        n = np.minimum(sizes, LARGEST)
+        take = np.where(n == LARGEST, sizes, sizes - -(-sizes * threshold.numerator // threshold.denominator) + 1)
+        elsewhere = (order >> np.uint64(48) & np.uint64(63)) > 0  # a counter of one is this record's own
+        keep = (rank < take[own]) & elsewhere
+        own, place = own[keep], np.where(n[own] == LARGEST, 0, rank)[keep].astype(np.int32)
+        x = (order[keep] >> np.uint64(8) & np.uint64((1 << 40) - 1)).astype(np.int64) << SIZE_BITS | n[own]
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(k[own]), pa.array(place)], names=["x", "k", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * 3
+        seen: set[int] = set()
         for batch in batches:
-            blobs = batch.column(2).to_pylist()
-            sizes = np.array([len(b) // 6 for b in blobs], dtype=np.int64)
-            wide = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
-            wide[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
-            own = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64), sizes) for c in (0, 1)]
-            cols = [np.concatenate([a, b]) for a, b in zip(held, [*own, wide.view("<i8").ravel().astype(np.int64)], strict=True)]
-            if len(cols[0]):
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))
-                if cut:
-                    yield chosen(*(c[:cut] for c in cols))
-                held = [c[cut:] for c in cols]
-        if len(held[0]):
-            yield chosen(*held)
+            keys, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = []
+            for i, key in enumerate(keys):  # copies within the task; those of other tasks go when a shingle's records meet
+                if key not in seen:
+                    seen.add(key)
+                    at.append(i)
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            for i in range(0, len(at), 1024):  # ten bits of a sorted number are the row
+                mine = at[i : i + 1024]
+                sizes, s = _values([blobs[j] for j in mine])
+                yield chosen(np.array([keys[j] for j in mine], dtype=np.int64), sizes, s)
 
     return run
 
 
 def _pairs(threshold: Fraction):
-    """Candidate pairs among ``(x, id, place)`` sorted by ``x``, hence by shingle and, within it, by the record's size: a range
+    """Candidate pairs among ``(x, k, place)`` sorted by ``x`` and ``k``, hence by shingle and, within it, by the record's size: a range
     join over sizes.  Runs longer than ``LONG_RUN`` come out as they are, with their ``x``."""
     up, over = threshold.numerator, threshold.denominator
-    names = ["id_s", "id_l", "x", "place"]
+    names = ["k_s", "k_l", "x", "place"]
 
     def nothing(n: int) -> pa.Array:
         return pa.nulls(n, pa.int64())
 
     def paired(x: np.ndarray, ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.append(True, (x[1:] != x[:-1]) | (ids[1:] != ids[:-1]))  # copies
+        x, ids, place = x[new], ids[new], place[new]
         h, n = x >> SIZE_BITS, x & LARGEST
         bounds = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         lengths = np.diff(np.append(bounds, len(h)))
@@ -271,7 +223,7 @@ def _pairs(threshold: Fraction):
         if long.any():
             yield pa.RecordBatch.from_arrays([pa.array(ids[long]), nothing(int(long.sum())), pa.array(x[long]), pa.array(place[long].astype(np.int64))], names=names)
         ends = np.repeat(bounds + lengths, lengths)
-        at, step = np.flatnonzero(~long), 1
+        at, step, found = np.flatnonzero(~long), 1, []
         while len(at := at[at + step < ends[at]]):
             other = at + step
             # Sizes ascend within a run: beyond the first that is too large there is none that fits.
@@ -279,10 +231,21 @@ def _pairs(threshold: Fraction):
             at, other = at[near], other[near]
             left = np.minimum(n[at] - place[at], n[other] - place[other])
             fits = ((left * (over + up) >= (n[at] + n[other]) * up) | (n[other] == LARGEST)) & (ids[at] != ids[other])
-            if fits.any():
-                a, b = ids[at[fits]], ids[other[fits]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), nothing(len(a)), nothing(len(a))], names=names)
+            a, b = ids[at[fits]], ids[other[fits]]
+            found.append((np.minimum(a, b), np.maximum(a, b)))
             step += 1
+            if sum(len(f[0]) for f in found) > 100_000:
+                yield from together(found)
+                found = []
+        yield from together(found)
+
+    def together(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), nothing(int(new.sum())), nothing(int(new.sum()))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
@@ -306,52 +269,92 @@ def _pairs(threshold: Fraction):
     return run
 
 
+def _embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(k, n, segments)`` of ``(k, shingles)``."""
+    for batch in batches:
+        sizes, s = _values(batch.column(1).to_pylist())
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        counts = np.bincount(rows * SEGMENTS + (s % np.uint64(SEGMENTS)).astype(np.int64), minlength=len(sizes) * SEGMENTS)
+        nibbles = np.minimum(counts, 15).astype(np.uint8).reshape(-1, 2)
+        packed = nibbles[:, 0] << 4 | nibbles[:, 1]
+        segments = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SEGMENTS // 2), len(sizes), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), segments], names=["k", "n", "segments"])
+
+
+def _close(threshold: Fraction):
+    """Of candidate pairs those whose embeddings are near enough: |A xor B| <= (1 - t) / (1 + t) (|A| + |B|) at
+    similarity t, and the Manhattan distance is at most |A xor B|."""
+    up, down = threshold.denominator + threshold.numerator, threshold.denominator - threshold.numerator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SEGMENTS // 2) for c in ("seg_s", "seg_l"))
+            a, b = (np.concatenate([v >> 4, v & 15], axis=1).astype(np.int16) for v in (a, b))
+            total = batch.column("n_s").to_numpy(zero_copy_only=False).astype(np.int64) + batch.column("n_l").to_numpy(zero_copy_only=False)
+            keep = pa.array(np.abs(a - b).sum(axis=1, dtype=np.int64) * up <= total * down)
+            yield batch.select(["k_s", "k_l"]).filter(keep)
+
+    return run
+
+
+def _verified(threshold: Fraction):
+    """Of pairs with their sets those that are similar, with the numbers of shingles that both and that either has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [len(np.intersect1d(_values([a])[1], _values([b])[1], assume_unique=True)) for a, b in zip(batch.column("s").to_pylist(), batch.column("l").to_pylist(), strict=True)]
+            shared = np.array(both, dtype=np.int64)
+            either = np.array([(len(a) + len(b)) // 6 for a, b in zip(batch.column("s").to_pylist(), batch.column("l").to_pylist(), strict=True)], dtype=np.int64) - shared
+            keep = pa.array(shared * threshold.denominator >= either * threshold.numerator)
+            yield pa.RecordBatch.from_arrays([batch.column("k_s"), batch.column("k_l"), pa.array(shared), pa.array(either)], names=["k_a", "k_b", "shared", "either"]).filter(keep)
+
+    return run
+
+
 class Similar:
-    """Pairs of similar records and their classes of equal text; build it once, as it counts and checkpoints."""
+    """Pairs of similar records and their classes; build it once, as it checkpoints the fingerprints."""
 
     def __init__(self, df: DataFrame, id_col: str, text_cols: Sequence[str], size: int = 5, threshold: float = 0.8, min_words: int = 1):
-        self.size, self.min_words, self.t = size, min_words, Fraction(str(threshold))
+        self.t = Fraction(str(threshold))
         texts = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"t{i}") for i, c in enumerate(text_cols)]
-        self.docs = df.select(F.col(id_col).cast("bigint").alias("id"), *texts).where(F.col("id").isNotNull())
-        self.cols = [f"t{i}" for i in range(len(text_cols))]
-        keyed = self.docs.select("id", F.xxhash64(*self.cols).alias("class_a"), F.xxhash64(F.lit("b"), *self.cols).alias("class_b"))
-        keyed = keyed.distinct()
-        sizes = keyed.groupBy("class_a", "class_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-        #: ``(id, rep)`` of the records that another stands for.
-        self.copies = checkpointed(keyed.join(sizes, ["class_a", "class_b"]).where(F.col("id") != F.col("rep")).select("id", "rep"))
-
-    def _distinct_docs(self) -> DataFrame:
-        return rows_with_keys(self.docs.select("id", *self.cols), self.copies.select("id"), "id", how="left_anti")
+        docs = df.select(F.col(id_col).cast("bigint").alias("id"), *texts).where(F.col("id").isNotNull())
+        self.prints = checkpointed(docs.mapInArrow(_fingerprints(size, min_words), "id bigint, k bigint, shingles binary"))
+        self.compared = self.prints.where(F.octet_length("shingles") > 0)
+
+    def classes(self) -> DataFrame:
+        """``(id, class_id)``: each record once, with the least id of its class; a record without words is a class of its own."""
+        # Rows delivered twice are united first, then the ids of a class within each input split.
+        rows = self.prints.select("id", "k").distinct()
+        least = rows.where("k IS NOT NULL").groupBy("k").agg(F.min("id").alias("class_id"))
+        return rows.join(least, "k", "left").groupBy("id").agg(F.coalesce(F.min("class_id"), F.col("id")).alias("class_id"))
+
+    def _levels(self):
+        """The sketch, sent to the executors: ``2 ** SKETCH_BITS`` bytes for a corpus of any size."""
+        spark = self.prints.sparkSession
+        parts = self.compared.select("shingles").mapInArrow(_sketch_parts, "block int, counters binary")
+        merged = parts.repartition(min(SKETCH_BLOCKS, shuffle_partitions(spark)), "block").sortWithinPartitions("block").mapInArrow(_sketch_levels, "block int, levels binary")
+        levels = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), dtype=np.uint8)
+        for r in merged.collect():  # SKETCH_BLOCKS rows
+            levels[r.block] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
+        return spark.sparkContext.broadcast(levels.ravel())
 
     def pairs(self) -> DataFrame:
-        """``(id_a, id_b, shared, either)``, a < b: pairs of class representatives, each once."""
-        spark, t = self.docs.sparkSession, self.t
-        docs = self._distinct_docs()
-        parts = shuffle_partitions(spark)
-        exploded = docs.mapInArrow(_exploded(self.size, self.min_words), "x bigint, id bigint")
-        shared = exploded.repartition(parts, F.shiftright("x", SIZE_BITS)).sortWithinPartitions("x").mapInArrow(_shared, "id bigint, n int, shingles binary")
-        prefix = shared.repartition(parts, "id").sortWithinPartitions("id").mapInArrow(_prefixes(t), "x bigint, id bigint, place int")
-        postings = checkpointed(prefix)
-        del exploded, shared, prefix
-        release_shuffles(spark)
-        by_shingle = postings.repartition(parts, F.shiftright("x", SIZE_BITS)).sortWithinPartitions("x")
-        found = checkpointed(by_shingle.mapInArrow(_pairs(t), "id_s bigint, id_l bigint, x bigint, place bigint").distinct())
-        near = found.where("x IS NULL").select("id_s", "id_l")
-        if found.where("x IS NOT NULL").limit(1).count():
-            near = checkpointed(near.unionByName(self._pairs_of_long_runs(found.where("x IS NOT NULL"))).distinct())
-        del by_shingle
-        release_shuffles(spark)
-        ids = checkpointed(near.select(F.explode(F.array("id_s", "id_l")).alias("id")).distinct())
-        embedded = rows_with_keys(docs, ids, "id").mapInArrow(_embedded(self.size, self.min_words), "id bigint, n int, segments binary").dropDuplicates(["id"])
-        both = near.join(embedded.select(F.col("id").alias("id_s"), F.col("n").alias("n_s"), F.col("segments").alias("seg_s")), "id_s")
-        both = both.join(embedded.select(F.col("id").alias("id_l"), F.col("n").alias("n_l"), F.col("segments").alias("seg_l")), "id_l")
-        maybe = checkpointed(both.select("id_s", "id_l", "n_s", "n_l", "seg_s", "seg_l").mapInArrow(_close(t), "id_s bigint, id_l bigint"))
-        ids = checkpointed(maybe.select(F.explode(F.array("id_s", "id_l")).alias("id")).distinct())
-        sets = rows_with_keys(docs, ids, "id").mapInArrow(_with_sets(self.size, self.min_words), "id bigint, shingles array<bigint>").dropDuplicates(["id"])
-        exact = maybe.join(sets.select(F.col("id").alias("id_s"), F.col("shingles").alias("s")), "id_s").join(sets.select(F.col("id").alias("id_l"), F.col("shingles").alias("l")), "id_l")
-        exact = exact.withColumn("shared", F.size(F.array_intersect("s", "l")).cast("bigint")).withColumn("either", F.size("s") + F.size("l") - F.col("shared"))
-        exact = exact.where(F.col("shared") * t.denominator >= F.col("either") * t.numerator)
-        return exact.select(F.least("id_s", "id_l").alias("id_a"), F.greatest("id_s", "id_l").alias("id_b"), "shared", "either")
+        """``(k_a, k_b, shared, either)``: pairs of classes, each once."""
+        t, parts = self.t, shuffle_partitions(self.prints.sparkSession)
+        sets = self.compared.select("k", "shingles")
+        postings = sets.mapInArrow(_prefixes(t, self._levels()), "x bigint, k bigint, place int")
+        by_shingle = postings.repartition(parts, F.shiftright("x", SIZE_BITS)).sortWithinPartitions("x", "k")
+        found = checkpointed(by_shingle.mapInArrow(_pairs(t), "k_s bigint, k_l bigint, x bigint, place bigint").distinct())
+        near, long = found.where("x IS NULL").select("k_s", "k_l"), found.where("x IS NOT NULL")
+        near = near.unionByName(self._pairs_of_long_runs(long)).distinct() if long.limit(1).count() else near
+        embedded = sets.mapInArrow(_embedded, "k bigint, n int, segments binary")
+        both = near.join(embedded.select(F.col("k").alias("k_s"), F.col("n").alias("n_s"), F.col("segments").alias("seg_s")).distinct(), "k_s")
+        both = both.join(embedded.select(F.col("k").alias("k_l"), F.col("n").alias("n_l"), F.col("segments").alias("seg_l")).distinct(), "k_l")
+        maybe = checkpointed(both.select("k_s", "k_l", "n_s", "n_l", "seg_s", "seg_l").mapInArrow(_close(t), "k_s bigint, k_l bigint"))
+        ids = checkpointed(maybe.select(F.explode(F.array("k_s", "k_l")).alias("k")).distinct())
+        needed = rows_with_keys(sets, ids, "k").distinct()
+        exact = maybe.join(needed.select(F.col("k").alias("k_s"), F.col("shingles").alias("s")), "k_s").join(needed.select(F.col("k").alias("k_l"), F.col("shingles").alias("l")), "k_l")
+        return exact.mapInArrow(_verified(t), "k_a bigint, k_b bigint, shared bigint, either bigint")
 
     def _pairs_of_long_runs(self, rows: DataFrame) -> DataFrame:
         """Candidate pairs of shingles that very many records have in their prefix: a join of grid cells over the embedding's
@@ -360,56 +363,59 @@ class Similar:
         h, n = F.shiftright("x", SIZE_BITS), F.col("x").bitwiseAND(F.lit(LARGEST))
         # Cells grow by 1/t, so a larger partner's size is in the same cell or the next.
         cell = F.floor(F.log(n.cast("double")) / F.log(F.lit(float(1 / t))) + 1e-9).cast("int")
-        block = F.pmod(F.xxhash64("id_s"), F.lit(blocks)).cast("int")
-        small = rows.select(h.alias("h"), cell.alias("cell"), block.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("theirs"), F.col("id_s").alias("a"), n.alias("n_s"), F.col("place").alias("at_s"))
-        large = rows.select(h.alias("h"), F.explode(F.array(cell, cell - 1)).alias("cell"), block.alias("theirs"), F.col("id_s").alias("b"), n.alias("n_l"), F.col("place").alias("at_l"))
+        block = F.pmod(F.xxhash64("k_s"), F.lit(blocks)).cast("int")
+        small = rows.select(h.alias("h"), cell.alias("cell"), block.alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("theirs"), F.col("k_s").alias("a"), n.alias("n_s"), F.col("place").alias("at_s"))
+        large = rows.select(h.alias("h"), F.explode(F.array(cell, cell - 1)).alias("cell"), block.alias("theirs"), F.col("k_s").alias("b"), n.alias("n_l"), F.col("place").alias("at_l"))
         large = large.withColumn("mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         whole = F.col("n_l") == LARGEST
         fits = (F.col("n_l") >= F.col("n_s")) & ((F.col("n_s") * t.denominator >= F.col("n_l") * t.numerator) | whole) & ((F.col("n_s") < F.col("n_l")) | (F.col("a") < F.col("b")))
         left = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
         fits = fits & ((left * (t.denominator + t.numerator) >= (F.col("n_s") + F.col("n_l")) * t.numerator) | whole)
-        pairs = small.join(large, ["h", "cell", "mine", "theirs"]).where(fits)
-        return pairs.select(F.least("a", "b").alias("id_s"), F.greatest("a", "b").alias("id_l")).distinct()
-
-    def expanded(self, pairs: DataFrame) -> DataFrame:
-        """``(id_a, id_b)`` of records: the pairs of representatives with all their copies, and the pairs of copies."""
-        reps = self._eligible_copies()
-        own = reps.select("rep").distinct()
-        members = reps.select("rep", "id").unionByName(own.select("rep", F.col("rep").alias("id")))
-        left = members.select(F.col("rep").alias("id_a"), F.col("id").alias("member_a"))
-        right = members.select(F.col("rep").alias("id_b"), F.col("id").alias("member_b"))
-        across = pairs.select("id_a", "id_b").join(left, "id_a", "left").join(right, "id_b", "left")
-        across = across.select(F.coalesce("member_a", "id_a").alias("x"), F.coalesce("member_b", "id_b").alias("y"))
-        within = members.alias("l").join(members.alias("r"), "rep").where("l.id < r.id").select(F.col("l.id").alias("x"), F.col("r.id").alias("y"))
+        pairs = small.join(large, ["h", "cell", "mine", "theirs"]).where(fits & (F.col("a") != F.col("b")))
+        return pairs.select(F.least("a", "b").alias("k_s"), F.greatest("a", "b").alias("k_l")).distinct()
+
+    def class_pairs(self) -> DataFrame:
+        """``(id_a, id_b, shared, either)``: pairs of classes by their least ids, which with ``classes`` say everything."""
+        least = self.compared.groupBy("k").agg(F.min("id").alias("id"))
+        pairs = self.pairs().join(least.withColumnsRenamed({"k": "k_a", "id": "x"}), "k_a").join(least.withColumnsRenamed({"k": "k_b", "id": "y"}), "k_b")
+        return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "shared", "either")
+
+    def expanded(self) -> DataFrame:
+        """``(id_a, id_b)`` of records: the pairs of classes with all their members, and the pairs of members."""
+        members = checkpointed(self.compared.select("k", "id").distinct())
+        left, right = members.withColumnsRenamed({"k": "k_a", "id": "x"}), members.withColumnsRenamed({"k": "k_b", "id": "y"})
+        across = self.pairs().select("k_a", "k_b").join(left, "k_a").join(right, "k_b").select("x", "y")
+        twice = members.groupBy("k").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("k")
+        copies = members.join(twice, "k")
+        within = copies.select("k", F.col("id").alias("x")).join(copies.select("k", F.col("id").alias("y")), "k").where("x < y").select("x", "y")
         every = across.unionByName(within)
         return every.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
-    def _eligible_copies(self) -> DataFrame:
-        """Copies whose text is long enough to be compared at all."""
-        ids = self.copies.select(F.col("rep").alias("id")).distinct()
-        long = rows_with_keys(self.docs, checkpointed(ids), "id").mapInArrow(_with_sets(self.size, self.min_words), "id bigint, shingles array<bigint>").select(F.col("id").alias("rep")).distinct()
-        return self.copies.join(long, "rep", "left_semi").select("rep", "id")
+
+TEXT_COLS = ("page_title", "meta_description", "visible_text_preview")
 
 
-def similar_pairs(df: DataFrame, id_col: str = "site_id", text_cols: Sequence[str] = ("page_title", "meta_description", "visible_text_preview"), size: int = 3, threshold: float = 0.5, min_words: int = 30) -> DataFrame:
+def similar_pairs(df: DataFrame, id_col: str = "site_id", text_cols: Sequence[str] = TEXT_COLS, size: int = 3, threshold: float = 0.5, min_words: int = 30) -> DataFrame:
     """``(id_a, id_b)``, a < b: every pair of records whose similarity reaches ``threshold``, copies included.
 
     Words are the longest runs of letters and digits in the lower-cased texts, shingles ``size`` adjacent ones; only
     records with ``min_words`` words in the last of ``text_cols`` are compared.  NULL texts count as ``''``; empty texts
     are similar to nothing; rows delivered twice count once; texts of any length are taken whole; an empty table gives no pair.
+    Copies of one text make as many pairs as the result's definition asks for; ``Similar.class_pairs`` with ``Similar.classes``
+    say the same in one row a record and one a pair of different texts.
     """
-    found = Similar(df, id_col, text_cols, size, threshold, min_words)
-    return found.expanded(found.pairs())
+    return Similar(df, id_col, text_cols, size, threshold, min_words).expanded()
 
 
-def similar_groups(df: DataFrame, id_col: str = "site_id", text_cols: Sequence[str] = ("page_title", "meta_description", "visible_text_preview"), size: int = 5, threshold: float = 0.8, min_words: int = 1, max_rounds: int = 60) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "site_id", text_cols: Sequence[str] = TEXT_COLS, size: int = 5, threshold: float = 0.8, min_words: int = 1, max_rounds: int = 60) -> DataFrame:
     """``(doc_id, group_id, n_links)``: one row a record, its group the least id that links reach.
 
-    Groups are the connected components of the pairs of class representatives, found by label propagation with
-    pointer jumping, a checkpoint a round; a copy has its representative's group.  ``n_links`` counts links to different texts.
+    Groups are the connected components of the pairs of classes, found by label propagation with
+    pointer jumping, a checkpoint a round; a copy has its class's group.  ``n_links`` counts links to other classes.  Equal texts
+    that are too short to be compared are one group; an empty text is a group of its own.
     """
     found = Similar(df, id_col, text_cols, size, threshold, min_words)
-    pairs = checkpointed(found.pairs().select("id_a", "id_b"))
+    pairs = checkpointed(found.class_pairs().select("id_a", "id_b"))
     edges = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     labels = checkpointed(edges.groupBy("id_a").agg(F.least(F.min("id_b"), F.first("id_a")).alias("label")).withColumnRenamed("id_a", "id"))
     for _ in range(max_rounds):
@@ -423,7 +429,6 @@ def similar_groups(df: DataFrame, id_col: str = "site_id", text_cols: Sequence[s
             break
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
-    links = edges.groupBy("id_a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("id_a", "rep")
-    ids = found.docs.select("id").distinct().join(found.copies, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    out = ids.join(labels.withColumnRenamed("id", "rep"), "rep", "left").join(links, "rep", "left")
-    return out.select(F.col("id").alias("doc_id"), F.coalesce("label", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    links = edges.groupBy("id_a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("id_a", "class_id")
+    out = found.classes().join(labels.withColumnRenamed("id", "class_id"), "class_id", "left").join(links, "class_id", "left")
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("label", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
