@@ -170,17 +170,49 @@ def test_mixture(spark):
     assert empty.sequence().count() == 0 and empty.shares().count() >= 1
 
 
-def test_personal_information(spark):
-    model = pii.trained(1500, 600)
+@pytest.fixture(scope="module")
+def model():
+    return pii.trained()
+
+
+def test_numbers_and_addresses_of_made_up_texts(model):
     from webloom.llm.pii_training import labelled_texts
 
-    tp = fp = fn = 0
-    for text, truth in labelled_texts(400, 12345):
-        got = {(s.kind, s.start) for s in model.found([text])[0]}
-        tp, fp, fn = tp + len(got & truth), fp + len(got - truth), fn + len(truth - got)
-    assert tp / (tp + fp) > 0.95 and tp / (tp + fn) > 0.93
+    made = list(labelled_texts(2000, 12345))
+    tp, fp, fn = Counter(), Counter(), Counter()
+    for spans, (_, truth) in zip(model.found([t for t, _ in made]), made, strict=True):
+        got, want = {(s.kind, s.start) for s in spans}, {(kind, start) for kind, start, _ in truth}
+        for c, found in ((tp, got & want), (fp, got - want), (fn, want - got)):
+            c.update(kind for kind, _ in found)
+    for kind in pii.KINDS[:4]:
+        assert tp[kind] / (tp[kind] + fp[kind]) > 0.93 and tp[kind] / (tp[kind] + fn[kind]) > 0.9, kind
+    assert tp["name"] / (tp["name"] + fn["name"]) > 0.9
+
+
+def test_names_that_training_never_saw(model):
+    people = "Siobhan Gallagher|Jürgen Schröder|Angela Merkel|Xi Liu|Noor Khan|Tomasz Nowak|Priya Natarajan|Amélie Dupont-Moretti|Kwame Mensah|Ngozi Okafor|Haruto Tanaka|Lars Björklund|Inês Carvalho|Søren Kjær|Agnieszka Wójcik|Mehmet Yılmaz|Oluwaseun Bello|Ewa Zając|Pádraig Ó Briain|Jean-Luc Fournier".split("|")
+    frames = ["Review by {}: the lamp is loud.", "I met {} at the station and we talked.", "Our doctor, {}, lives near the harbour.", "The lamp was bought by {} last week.", "{} visited the museum in Paris.", "{}", "They spoke with {} about the harbour.", "Dear {},\nthanks for the lamp."]
+    others = ["The harbour lamp is sold in Paris and London.", "Most visitors from Hamburg buy the lamp in May.", "Diese Lampe aus Hamburg ist neu.", "Die Werkstatt in Bremen öffnet früh.", "Cette lampe de Lyon est belle.", "Please read the Terms of Use.", "Tax ID and VAT ID are on the form.", "In May the museum in Kraków was closed."] * 10
+    texts = [f.format(p) for p in people for f in frames]
+    found = model.found(texts + others)
+    right = sum((s.kind, t[s.start : s.end]) == ("name", p) for (p, t), spans in zip(((p, f.format(p)) for p in people for f in frames), found, strict=False) for s in spans)
+    assert right / len(texts) >= 0.9
+    assert right / sum(len(spans) for spans in found) >= 0.9
+    assert [(s.kind, s.start) for s in model.found(["mail bob@corp.com"])[0]] == [("email", 5)]
+
+
+def test_word_case_is_the_corpus(spark):
+    texts = ["Die Lampe und die Tür", "die Lampe", "Mail jonas@x.example, Jonas", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole, shared = pii.WordCase.of(t for t in texts if t), pii.WordCase(pii.word_case(df).value)
+    assert all(whole[w] == shared[w] for w in ("Die", "Lampe", "Jonas", "und", "Nothing"))
+    assert shared["Die"] > 8 and shared["Lampe"] == shared["Jonas"] == shared["Nothing"] == 0 and shared["und"] == 15
+    assert pii.WordCase(pii.word_case(df.limit(0)).value)["Die"] == 0
+
+
+def test_personal_information(spark, model):
     text = "Ansprechpartner: Greta Wexgrove, Telefon 415-555-0158\nMail: a.b (at) mail.example\nTax ID 580512-0230 belongs to Mateo K. Order 4471-2209-15 left. See icon@2x.png."
-    df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "no one " * 5000, "x"), (1, text, "x")], "doc_id bigint, text string, kind string")
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "no order " * 5000, "x"), (1, text, "x")], "doc_id bigint, text string, kind string")
     found = Counter((r.doc_id, r.kind, r.value) for r in pii.personal_spans(df, model=model).collect())
     assert found == {(1, "name", "Greta Wexgrove"): 2, (1, "phone", "415-555-0158"): 2, (1, "email", "a.b (at) mail.example"): 2, (1, "id_number", "580512-0230"): 2, (1, "name", "Mateo K."): 2}
     clean = {r.doc_id: (r.clean_text, r.n_found) for r in pii.redacted(df, model=model).collect()}

@@ -8,54 +8,61 @@ import numpy as np
 class BoostedTrees:
     """Logistic boosting with histogram splits; features are small non-negative whole numbers."""
 
-    def __init__(self, trees: int = 60, depth: int = 4, rate: float = 0.2, smallest: int = 10, shrink: float = 1.0):
-        self.trees, self.depth, self.rate, self.smallest, self.shrink = trees, depth, rate, smallest, shrink
+    def __init__(self, trees: int = 80, depth: int = 5, rate: float = 0.2, smallest: int = 10, shrink: float = 1.0, share: float = 0.4):
+        self.trees, self.depth, self.rate, self.smallest, self.shrink, self.share = trees, depth, rate, smallest, shrink, share
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
+    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 0) -> BoostedTrees:
+        """Each tree sees a random ``share`` of the rows; the nodes of one depth share their histograms."""
         x = np.minimum(x, 31).astype(np.int64)
         n, m = x.shape
-        cells = x + np.arange(m) * 32
+        cells = (x + np.arange(m) * 32).astype(np.int32)
         self.base = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-        score = np.full(n, self.base)
+        score, random = np.full(n, self.base), np.random.default_rng(seed)
         nodes = 2 ** (self.depth + 1) - 1
         self.feature = np.full((self.trees, nodes), -1, dtype=np.int64)
         self.cut, self.value = np.zeros((self.trees, nodes), dtype=np.int64), np.zeros((self.trees, nodes))
         for t in range(self.trees):
-            p = 1 / (1 + np.exp(-score))
-            g, h = y - p, p * (1 - p)
-            at = np.zeros(n, dtype=np.int64)
-            for node in range(nodes):
-                mine = np.flatnonzero(at == node)
-                if not len(mine):
-                    continue
-                gs, hs = g[mine].sum(), h[mine].sum()
-                self.value[t, node] = self.rate * gs / (hs + self.shrink)
-                if node * 2 + 2 >= nodes or len(mine) < 2 * self.smallest:
-                    continue
-                flat = cells[mine].ravel()
-                left = [np.bincount(flat, np.repeat(w, m), m * 32).reshape(m, 32).cumsum(axis=1) for w in (g[mine], h[mine], np.ones(len(mine)))]
+            rows = np.flatnonzero(random.random(n) < self.share)
+            p = 1 / (1 + np.exp(-score[rows]))
+            g, h = y[rows] - p, p * (1 - p)
+            mine, at = cells[rows], np.zeros(len(rows), dtype=np.int64)
+            for level in range(self.depth + 1):
+                width, first = 2**level, 2**level - 1
+                place = at - first
+                live = np.flatnonzero(place >= 0)
+                sums = [np.bincount(place[live], w[live], width) for w in (g, h)]
+                self.value[t, first : first + width] = self.rate * sums[0] / (sums[1] + self.shrink)
+                if level == self.depth or not len(live):
+                    break
+                flat = (mine[live] + (place[live] * (m * 32))[:, None].astype(np.int32)).ravel()
+                left = [np.bincount(flat, np.repeat(w[live], m) if w is not None else None, width * m * 32).reshape(width, m, 32).cumsum(axis=2) for w in (g, h, None)]
+                gs, hs, total = sums[0][:, None, None], sums[1][:, None, None], np.bincount(place[live], minlength=width)[:, None, None]
                 gain = left[0] ** 2 / (left[1] + self.shrink) + (gs - left[0]) ** 2 / (hs - left[1] + self.shrink) - gs**2 / (hs + self.shrink)
-                gain[(left[2] < self.smallest) | (len(mine) - left[2] < self.smallest)] = -1
-                best = int(gain.argmax())
-                if gain.flat[best] <= 1e-6:
-                    continue
-                f, cut = divmod(best, 32)
-                self.feature[t, node], self.cut[t, node] = f, cut
-                at[mine] = node * 2 + 1 + (x[mine, f] > cut)
-            score += self.value[t, at]
+                gain[(left[2] < self.smallest) | (total - left[2] < self.smallest)] = -1
+                best = gain.reshape(width, -1).argmax(axis=1)
+                good = gain.reshape(width, -1)[np.arange(width), best] > 1e-6
+                f, cut = np.divmod(best, 32)
+                self.feature[t, first : first + width] = np.where(good, f, -1)
+                self.cut[t, first : first + width] = cut
+                on = live[good[place[live]]]
+                down = at[on] * 2 + 1 + (x[rows[on], f[place[on]]] > cut[place[on]])
+                at[:] = -1
+                at[on] = down
+            score += self._tree(t, x)
         return self
 
+    def _tree(self, t: int, x: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+        for _ in range(self.depth):
+            f = self.feature[t, at]
+            at = np.where(f >= 0, at * 2 + 1 + (x[rows, np.maximum(f, 0)] > self.cut[t, at]), at)
+        return self.value[t, at]
+
     def margin(self, x: np.ndarray) -> np.ndarray:
         x = np.minimum(x, 31)
         score = np.full(len(x), self.base)
-        rows = np.arange(len(x))
         for t in range(self.trees):
-            at = np.zeros(len(x), dtype=np.int64)
-            for _ in range(self.depth):
-                f = self.feature[t, at]
-                inner = f >= 0
-                at = np.where(inner, at * 2 + 1 + (x[rows, np.maximum(f, 0)] > self.cut[t, at]), at)
-            score += self.value[t, at]
+            score += self._tree(t, x)
         return score
 
 

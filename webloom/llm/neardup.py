@@ -21,7 +21,6 @@ the sets themselves.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
@@ -30,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.sketch import counted
 from webloom.operators.sized import checkpointed, rows_with_keys, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENTS = 64  # four bits a segment; a count above 15 stays 15, which keeps the bound
 SKETCH_BITS = 24  # logarithm of the sketch's counters: 16 MB once they are levels, sent to every executor
-SKETCH_BLOCKS = 64
 LONG_RUN = 20_000  # records that share a shingle within their prefixes and are compared in one task; longer runs are joined in salted cells
 REMEMBERED = 500_000  # words, or classes, that a task remembers before it forgets them all
 # A shingle travels as one long: 40 bits of hash, which order and join shingles (two that fall together only add a
@@ -138,34 +137,10 @@ def _fingerprints(size: int, min_words: int):
     return run
 
 
-def _sketch_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(block, counters)``: how often shingles fell into each counter of the task's rows."""
-    counters = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+def _count_shingles(batches: Iterator[pa.RecordBatch], counters: np.ndarray) -> None:
     for batch in batches:
         _, s = _values(batch.column(0).to_pylist())
         np.add.at(counters, s >> np.uint64(48 - SKETCH_BITS), 1)
-    blocks = np.minimum(counters, 65535).astype(np.uint16).reshape(SKETCH_BLOCKS, -1)
-    parts = [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(blocks) if b.any()]
-    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.binary())], names=["block", "counters"])
-
-
-def _sketch_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(block, levels)`` of parts sorted by ``block``: twice the logarithm of each sum of counters, at most 63; of no count 0."""
-    block, total = None, np.empty(0)
-
-    def level() -> pa.RecordBatch:
-        levels = np.minimum(np.log2(np.maximum(total, 1)) * 2, 63).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(levels.tobytes(), 1)], pa.binary())], names=["block", "levels"])
-
-    for batch in batches:
-        for b, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if b != block:
-                if block is not None:
-                    yield level()
-                block, total = b, np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, dtype=np.int64)
-            total += np.frombuffer(zlib.decompress(part), np.uint16)
-    if block is not None:
-        yield level()
 
 
 def _prefixes(threshold: Fraction, levels):
@@ -330,13 +305,8 @@ class Similar:
 
     def _levels(self):
         """The sketch, sent to the executors: ``2 ** SKETCH_BITS`` bytes for a corpus of any size."""
-        spark = self.prints.sparkSession
-        parts = self.compared.select("shingles").mapInArrow(_sketch_parts, "block int, counters binary")
-        merged = parts.repartition(min(SKETCH_BLOCKS, shuffle_partitions(spark)), "block").sortWithinPartitions("block").mapInArrow(_sketch_levels, "block int, levels binary")
-        levels = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), dtype=np.uint8)
-        for r in merged.collect():  # SKETCH_BLOCKS rows
-            levels[r.block] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
-        return spark.sparkContext.broadcast(levels.ravel())
+        levels = counted(self.compared.select("shingles"), _count_shingles, 1 << SKETCH_BITS)
+        return self.prints.sparkSession.sparkContext.broadcast(levels)
 
     def pairs(self) -> DataFrame:
         """``(k_a, k_b, shared, either)``: pairs of classes, each once."""
