@@ -33,7 +33,7 @@ def test_residue(spark):
 def test_hint_holds_for_every_placeholder(spark):
     examples = [
         "{{ name }}", "{% if x %}", "&lt;%= title %&gt;", "${title}", "#{title}", "{$page.title}", "{page.title}", "%%NAME%%", "##NAME##", "%(name)s", "a %s lamp", "[[Title]]", "[sitename]", "[/gallery]", "$TITLE$", "__TITLE__", "PAGE_TITLE_HERE",
-        "LAMP_PLACEHOLDER", "XX-TITLE-XX Lamdrua", ":page_title", "@Model.Title", "<your name>", "[object Object]", "Total: NaN", "undefined - Lamps", "TODO: text",
+        "LAMP_PLACEHOLDER", "XX-TITLE-XX Lamdrua", ":page_title", "@Model.Title", "<your name>", "[FIRST NAME]", "*|FNAME|*", "[object Object]", "Total: NaN", "undefined - Lamps", "TODO: text",
     ]
     rows = [(i, p, x) for i, (p, x) in enumerate(zip(residue.PLACEHOLDER, examples, strict=True))]
     for i, pattern, x in rows:
@@ -43,6 +43,18 @@ def test_hint_holds_for_every_placeholder(spark):
     assert sorted(r.doc_id for r in got.collect()) == [i for i, _, _ in rows]
 
 
+def test_messages_in_any_wording(spark):
+    messages = {
+        "error": ["Error establishing a database connection", "Oops! Something went wrong.", "Sorry, this page isn't available.", "Connection timed out", "Pagina non trovata", "This site can't be reached", "Seite wurde nicht gefunden", "The page you are looking for does not exist.", "Attention Required!", "Cette page n’existe plus", "You do not have permission to access this lamp.", "This lamp has been removed (410)."],
+        "script": ["JavaScript is required to view this page.", "This page requires JavaScript to be enabled", "Questo sito richiede JavaScript", "JavaScript must be enabled to use this application.", "Lampe needs scripts to show this table", "Bitte JavaScript einschalten, um die Seite anzuzeigen, sie benötigt JavaScript"],
+        "filler": ["Your text here", "Insert your own content here", "This is dummy text", "Untitled", "Sample text. Sample text."],
+        None: ["The lamp is not available in red", "Add to cart", "We are not open on Sundays.", "Learn JavaScript with a lamp", "Our shop needs JavaScript developers in Bremen", "Find your own home", "Sign in to your account", "Welcome to our site", "Check availability", "You have no items in your basket.", "A server answers 404 Not Found when a lamp has moved", "A café named Lorem serves an ipsum cake", ""],
+    }
+    rows = [(x, k) for k, listed in messages.items() for x in listed]
+    got = spark.createDataFrame(rows, "x string, k string").select("x", "k", residue.evidence(F.col("x")).alias("got")).collect()
+    assert [(r.x, r.got) for r in got if r.got != r.k] == []
+
+
 def test_residue_of_long_lines(spark):
     latin = " ".join(residue.LATIN)
     found = {1: latin + ". " + latin, 2: f"{latin}, " * 2000 + "dolor (ref ab-cd)", 3: "Cannot GET /" + "a" * 700, 4: " " * 700 + "Please enable JavaScript.", 5: "bla " * 20_000, 6: "xxx, " * 20_000, 7: "x" * 90_000, 8: "404 -" + " " * 20_000, 9: "Your text goes here. " * 9000}
@@ -211,8 +223,8 @@ def test_word_case_is_the_corpus(spark):
 
 
 def test_personal_information(spark, model):
-    text = "Ansprechpartner: Greta Wexgrove, Telefon 415-555-0158\nMail: a.b (at) mail.example\nTax ID 580512-0230 belongs to Mateo K. Order 4471-2209-15 left. See icon@2x.png."
-    df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "no order " * 5000, "x"), (1, text, "x")], "doc_id bigint, text string, kind string")
+    text = "Ansprechpartner: Greta Wexgrove, Telefon 415-555-0158\nMail: a.b (at) mail.example\nTax ID 580512-0230 belongs to Mateo K. order 4471-2209-15 left. See icon@2x.png."
+    df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (4, "no one " * 5000, "x"), (1, text, "x")], "doc_id bigint, text string, kind string")
     found = Counter((r.doc_id, r.kind, r.value) for r in pii.personal_spans(df, model=model).collect())
     assert found == {(1, "name", "Greta Wexgrove"): 2, (1, "phone", "415-555-0158"): 2, (1, "email", "a.b (at) mail.example"): 2, (1, "id_number", "580512-0230"): 2, (1, "name", "Mateo K."): 2}
     clean = {r.doc_id: (r.clean_text, r.n_found) for r in pii.redacted(df, model=model).collect()}
