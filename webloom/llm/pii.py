@@ -85,8 +85,8 @@ _NUMBER_LABEL = re.compile(r"(?:order|lot|batch|ean|isbn|issn|position|built|run
 _ADDRESS_LABEL = re.compile(r"(?:address|anschrift|adresse|dirección|endereço|adres|адрес|visit us|returns? go to|deliver\w* to|pick-?up from|lives at|located at|live at|ship to|send to|come to|meet at|office)[\w .:]{0,10}[:,. ]{0,3}(?:[^\n]{0,40}, )?$", re.I)
 _NAME_LABEL = re.compile(r"(?:\b(?:name|nom|nombre|nome|nazwisko|имя|author|autor(?:in)?|автор|applicant|client|customer|kund(?:e|in)|ansprechpartner(?:in)?|contact|kontakt|attn|attention|signed|sincerely|regards|manager|director|colleague|doctor|nurse|teacher|dear|liebe[r]?|cher|chère|hola|estimad[oa]|car[oa]|szanown[ya]|mr|mrs|ms|miss|dr|prof|herr|frau|sir|madam|mme|mlle|señora?|sra?|pan|pani)\.?:?|\b(?:by|von|par|por|przez|met|wrote|write to|belongs to|ask for|of)) ?$", re.I)
 _PLACE_BEFORE = re.compile(r"(?<!\w)(?:in|from|of|near|at|to|aus|en|de|em|w|z|à|around|towards|through|across|behind|into|and|und|&) $", re.I)
-# Words that end the names of places and bodies.
-BODIES = set("museum hotel university college school institute company corporation group bank church hospital theatre theater library station airport park bridge harbour road street lane avenue square limited ltd inc gmbh ag sa team club society association festival award prize edition id ean policy".split())
+# Words that end the names of places and bodies, and words that stand before numbers.
+BODIES = set("museum hotel university college school institute company corporation group bank church hospital theatre theater library station airport park bridge harbour road street lane avenue square limited ltd inc gmbh ag sa team club society association festival award prize edition policy " "id ean isbn order lot batch invoice ref reference position version page model serial sku item part article tracking ticket room row score chapter run price".split())
 _NEXT_WORD, _LETTERS, _FIRST_INITIAL, _LAST_INITIAL = re.compile(rf" ?({_L}+)"), re.compile(rf"{_L}+"), re.compile(rf"{_U}\."), re.compile(rf"(?<!\w){_U}\.?$")
 _FILE_END = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js|json|html?|pdf|zip|txt|md|ico)$", re.I)
 _UNIT_AFTER = re.compile(r"\s*[x×%€$]|,\d|-\d|:\d")
@@ -203,7 +203,7 @@ def _number_features(kind: int, form: int, text: str, start: int, end: int) -> t
     digits = sum(map(len, runs))
     return (
         kind, form, min(digits, 31), min(len(runs), 15), min(len(runs[0]), 15), min(len(runs[-1]), 15), bool(_ID_LABEL.search(before)), bool(_PHONE_LABEL.search(before)), bool(_NUMBER_LABEL.search(before)), span[0] == "+", span[0] == "(", span[0] == "0",
-        span.count(" "), span.count("."), span.count("/"), span.count("-"), span[0].isalpha(), span[-1].isalpha(), bool(re.match(r"(?:19|20)\d\d[-/.]\d\d", span)), before[-1:] in ("$", "£", "€", "¥", "#"), bool(_UNIT_AFTER.match(text, end)), _after(text, end), _before(text, start), "ext" in span.lower(), max(map(len, runs)), 0, 0, 0, 0, 0,
+        span.count(" "), span.count("."), span.count("/"), span.count("-"), span[0].isalpha(), span[-1].isalpha(), bool(re.match(r"(?:19|20)\d\d[-/.]\d\d", span)), before[-1:] in ("$", "£", "€", "¥", "#"), bool(_UNIT_AFTER.match(text, end)), _after(text, end), _before(text, start), "ext" in span.lower(), max(map(len, runs)), 0, 0, 0, 0, 0, 0, 0,
     )
 
 
@@ -213,7 +213,7 @@ def _other_features(kind: int, form: int, text: str, start: int, end: int) -> tu
     before = text[max(0, start - 64) : start]
     return (
         kind, form, min(len(span) // 4, 31), min(len(digits), 15), bool(_ADDRESS_LABEL.search(before)) if kind == 3 else 0, bool(_PLACE_BEFORE.search(before)), _before(text, start), _after(text, end), bool(_FILE_END.search(span)), bool(re.search(r"[@＠] ?\d", span)), span.count("."),
-        bool(re.search(r"https?://\S*$|\w[/?&=]\S*$", before)), any(len(d) in (4, 5) for d in digits), span.count(","), bool(re.search(r"[\])}] ?\w", span)), span.isupper(), span.count(" "), min(len(re.split(r"\W", span)[-1]), 15), before[-1:] == "/", before[-1:] == "@", 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
+        bool(re.search(r"https?://\S*$|\w[/?&=]\S*$", before)), any(len(d) in (4, 5) for d in digits), span.count(","), bool(re.search(r"[\])}] ?\w", span)), span.isupper(), span.count(" "), min(len(re.split(r"\W", span)[-1]), 15), before[-1:] == "/", before[-1:] == "@", 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0,
     )
 
 
@@ -225,7 +225,8 @@ def _name_features(text: str, start: int, end: int, pieces: list[tuple[int, int]
     steps = [case[w] for w in whole]
     ranks = [case.rank(w) for w in whole]
     lower = [w.lower() in CLOSED or w.lower() in TITLES for w in words if w[0].isupper()]
-    beside = (prior.lower() in CLOSED, case[prior] if prior else 0, max(0, min(16 + case.rank(prior) - ranks[0], 31)) if prior and ranks else 16, words[-1].lower() in BODIES)
+    following = text[slice(*pieces[last + 1])] if last + 1 < len(pieces) else ""
+    beside = (prior.lower() in CLOSED, case[prior] if prior else 0, max(0, min(16 + case.rank(prior) - ranks[0], 31)) if prior and ranks else 16, words[-1].lower() in BODIES, 2 * (following.lower() in BODIES) + (following.lower() in CLOSED), case[following] if following else 0)
     return (
         4, max(0, min(16 + ranks[0] - ranks[-1], 31)) if ranks else 16, min(last - first, 7), min(first, 7), min(len(pieces) - 1 - last, 7), steps[0] if steps else 0, steps[-1] if steps else 0, max(steps, default=0), lower[0], lower[-1], any(lower), "," in span, bool(_FIRST_INITIAL.match(span)), bool(_LAST_INITIAL.search(span)),
         "." in span, any(w[0].islower() for w in words), span.isupper(), any(len(w) > 1 and w.isupper() for w in words), bool(_NAME_LABEL.search(before)), bool(_PLACE_BEFORE.search(before)), _before(text, start), _after(text, end), min(len(words[0]), 15), min(len(words[-1]), 15), "-" in span, case[m.group(1)] if (m := _NEXT_WORD.match(text, end)) else 0, *beside,

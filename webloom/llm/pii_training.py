@@ -84,9 +84,9 @@ class _Language:
             out = f"{g} {r.choice('ABCDEFGHJKLMNPRSTVW')}. {f}"
         elif form < 0.77:
             out = f"{g} {r.choice(self.names)} {f}"
-        elif form < 0.85:
+        elif form < 0.83:
             out = f"{g[0]}. {f}"
-        elif form < 0.88:
+        elif form < 0.86:
             out = f"{g[0]}. {r.choice('ABCDEFGHJKLM')}. {f}"
         elif form < 0.94:
             return f"{g} {f[0]}."
@@ -154,7 +154,7 @@ def _mention(r: random.Random, lang: _Language) -> list:
             [f"{start}{small} ", n, f" {more}."], [f"{start}{small} ", n, " and ", ("name", lang.name()), "."], [f"{start}{words}, ", n, f", {more}."], [f"{start}{lang.proper()} {small} ", n, "."], [n, ";", e, ";", p, "\n"], [n, r.choice((";", " |", ", ")), f" {words}\n"], [start, n, " ", r.choice(_CLOSED), f" {lang.proper()}."],
         ])
     return r.choice([
-        ["Name: ", n, "\nPhone: ", p, "\nMail: ", e, "\n"], ["Our manager ", n, " answers on ", p, f" {more}."], [cue, n, r.choice((", joignable au ", ", Telefon ", ", tel. ", " / ")), p], [label, i, " belongs to ", n, "."], ["Ring ", p, " and ask for ", n, "."],
+        ["Name: ", n, "\nPhone: ", p, "\nMail: ", e, "\n"], ["Our manager ", n, " answers on ", p, f" {more}."], [cue, n, r.choice((", joignable au ", ", Telefon ", ", tel. ", " / ")), p], [label, i, " belongs to ", n, "."], [label, i, " belongs to ", n, f" {_decoy(r, lang)}"], ["Ring ", p, " and ask for ", n, "."],
         [f"{more.capitalize()} write to ", n, " at ", e, " or call ", p, "."], ["If ", n, " is away, mail ", e, "."], ["Deliver to: ", n, ", ", a, ", phone ", p], ["The applicant ", n, " (ID ", i, ") lives at ", a, "."], ["Returns go to ", a, ", attention of ", n, "."],
         [n, ";", e, ";", p, "\n"], ["Kundin ", n, ", " + label, i, ", ", a], [label, i, f" {more}."], [label, i, "\n"], [label, i, f" {words}"], ["Visit us at ", a, "."], ["Anschrift: ", a, "\n"], ["Adresse: ", a, "\n"], [f"{words.capitalize()} from ", a, f" {more}"],
         [f"mail ", e], ["Contact: ", e], ["mailto:", e], ["<", e, ">"], ["cc ", e, ", ", ("email", _email(r, lang))], [f"{more.capitalize()} ", e, f" {more}."], ["E-Mail: ", e, "\n"], [f"{words.capitalize()} ", e, "."], ["Escríbenos a ", e, " o llama al ", p], ["Tel. ", p], ["Phone: ", p, "\n"], ["Call ", p, f" {more}."], [f"{words.capitalize()} ", p, "."], ["Fax ", p], ["(", p, ")"], [a, "\n"], [f"{words.capitalize()} ", a, "."],
