@@ -5,9 +5,9 @@ from webloom.operators.extract import extract
 
 SAMPLE = """<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Shop — lamps
  and more</title><meta name="description" content="We sell lamps"><meta name="DESCRIPTION" content="second"><meta property="og:site_name" content="Lamp Shop"><meta property="og:image" content="/logo.png"><meta name="twitter:site" content="lamps">
-<meta name="generator" content="WordPress 6.5"><link rel="canonical" href="https://shop.test/"><link rel="shortcut icon" href="/fav.ico"><link rel="stylesheet" href="/s.css"><link rel="alternate" type="application/rss+xml" href="/feed.xml"><link rel="alternate" hreflang="de" href="/de">
+<meta name="generator" content="WordPress, some release"><link rel="canonical" href="https://shop.test/"><link rel="shortcut icon" href="/fav.ico"><link rel="stylesheet" href="/s.css"><link rel="alternate" type="application/rss+xml" href="/feed.xml"><link rel="alternate" hreflang="de" href="/de">
 <script type="application/ld+json">{"@type": ["Organization"], "name": "Lamps Ltd", "foundingDate": 2012, "telephone": "+1-555-0100", "address": {"addressLocality": "Austin", "postalCode": "1"}, "contact": {"deep": [{"email": "mailto:ld@shop.test"}]}}</script></head>
-<body><nav><a href="/a">A</a><a href="/a#top">A again</a></nav><ul><li><h1>Code <div>x</div> Work</h1></ul><h2 class="hidden">no</h2><p class="overflow-hidden">Write to <b>info@shop.test</b> or call +1 (555) 010-0199<p>second <!-- kept --> paragraph
+<body><nav><a href="/a">A</a><a href="/a#top">A again</a></nav><ul><li><h1>Brass <div>x</div> Lamps</h1></ul><h2 class="hidden">no</h2><p class="never-hidden-here">Write to <b>info@shop.test</b> or call +1 (555) 010-0199<p>second <!-- kept --> paragraph
 <a href="https://sub.shop.test/x.pdf">pdf</a><a href="https://github.com/x">g</a><a href="//youtu.be/v">v</a><a href="javascript:x()">j</a><a href="#f">f</a><a href="mailto:a@b.test?subject=x">m</a><a href="tel:+1 555 0100 99">t</a>
 <img src="/1.png" alt=""><img data-src="/2.png" srcset="/3.png 1x, /4.png 2x" alt="two"><video><source src="/m.mp4"></video><iframe src="https://www.youtube.com/embed/1"></iframe><script src="/jquery.js"></script><form></form>
 <footer>&copy; 2024 Lamps Ltd</footer></body></html>"""
@@ -23,10 +23,10 @@ def test_sample_page(spark):
     assert list(r) == schema.COLUMNS and len(r) == 90
     expected = {
         "domain": "shop.test", "https": True, "page_title": "Shop — lamps and more", "meta_description": "We sell lamps", "site_name": "Lamp Shop", "language": "en", "charset": "utf-8", "twitter_handle": "@lamps", "favicon": "/fav.ico",
-        "h1_text": "Code x Work", "h1_count": 1, "h2_count": 0, "technology": "WordPress", "org_name": "Lamps Ltd", "org_founding_date": "2012", "org_location": "Austin, 1", "org_phone": "+1-555-0100", "jsonld_types": ["Organization"],
+        "h1_text": "Brass x Lamps", "h1_count": 1, "h2_count": 0, "technology": "WordPress", "org_name": "Lamps Ltd", "org_founding_date": "2012", "org_location": "Austin, 1", "org_phone": "+1-555-0100", "jsonld_types": ["Organization"],
         "images_count": 2, "images_missing_alt": 1, "forms_count": 1, "iframes_count": 1, "scripts_count": 2, "styles_count": 1, "nav_links": ["https://shop.test/a"], "document_links": ["https://sub.shop.test/x.pdf"], "github_url": "https://github.com/x",
         "youtube_url": "https://youtu.be/v", "external_domains_list": ["github.com", "youtu.be"], "mailto_links": ["a@b.test"], "contact_emails": ["a@b.test", "info@shop.test", "ld@shop.test"], "image_urls_count": 5, "rss_feeds": ["https://shop.test/feed.xml"],
-        "hreflang_urls": ["https://shop.test/de"], "copyright_text": "© 2024 Lamps Ltd", "headings_outline": "h1: Code x Work", "rendering_type": "server_rendered", "technology_evidence": "generator:WordPress; lib:jquery",
+        "hreflang_urls": ["https://shop.test/de"], "copyright_text": "© 2024 Lamps Ltd", "headings_outline": "h1: Brass x Lamps", "rendering_type": "server_rendered", "technology_evidence": "generator:WordPress; lib:jquery",
         "media_urls": ["https://shop.test/m.mp4", "https://www.youtube.com/embed/1", "https://youtu.be/v"],
     }
     assert {k: r[k] for k in expected} == expected

@@ -13,13 +13,11 @@ from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin, urlparse
 
 # Fixed values.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = set(
-    "p div li h1 h2 h3 h4 h5 h6 blockquote pre td th dt dd section article aside header footer main figure figcaption form nav table thead tbody tfoot tr ul ol dl caption summary address fieldset legend body html".split()
-)
-SKIPPED = set("script style noscript template svg head iframe canvas object embed audio video meta link select textarea input option".split())
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "th", "dt", "dd", "section", "article", "aside", "header", "footer", "main", "figure", "figcaption", "form", "nav", "table", "thead", "tbody", "tfoot", "tr", "ul", "ol", "dl", "caption", "summary", "address", "fieldset", "legend", "body", "html"}
+SKIPPED = {"script", "style", "noscript", "template", "svg", "head", "iframe", "canvas", "object", "embed", "audio", "video", "meta", "link", "select", "textarea", "input", "option"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul li dd dt".split())
+CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dd", "dt"}
 # A start tag closes these open elements, up to the nearest of the second set.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table", "thead", "tbody", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}),

@@ -16,15 +16,15 @@ SKIP_EXTENSIONS = (
     ".jpg .jpeg .png .gif .webp .svg .ico .bmp .tif .css .js .mjs .json .xml .rss .atom .pdf .doc .docx .xls .xlsx .ppt .pptx .zip .tar .gz .bz2 .7z .rar .exe .dmg .pkg "
     ".mp3 .mp4 .avi .mov .wmv .flv .webm .ogg .wav .woff .woff2 .ttf .eot .otf .csv .sql .db .log .map"
 ).split()
-DOCUMENT_EXTENSIONS = ".pdf .doc .docx .xls .xlsx .ppt .pptx .csv .tsv .zip .rar .7z .gz .tar .rtf .odt .ods .odp .epub".split()
-MEDIA_EXTENSIONS = ".mp4 .webm .ogg .ogv .mov .avi .mkv .m4v .mp3 .wav .flac .aac .m4a .oga".split()
+DOCUMENT_EXTENSIONS = [".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".csv", ".tsv", ".zip", ".rar", ".7z", ".gz", ".tar", ".rtf", ".odt", ".ods", ".odp", ".epub"]
+MEDIA_EXTENSIONS = [".mp4", ".webm", ".ogg", ".ogv", ".mov", ".avi", ".mkv", ".m4v", ".mp3", ".wav", ".flac", ".aac", ".m4a", ".oga"]
 MEDIA_HOSTS = ["youtube.com", "youtu.be", "vimeo.com", "dailymotion.com", "wistia.com", "soundcloud.com", "spotify.com"]
 SOCIAL_HOSTS = {
     "facebook.com": "facebook_url", "linkedin.com": "linkedin_url", "instagram.com": "instagram_url", "youtube.com": "youtube_url", "youtu.be": "youtube_url", "github.com": "github_url",
     "twitter.com": None, "x.com": None, "t.me": None, "tiktok.com": None, "pinterest.com": None, "medium.com": None, "threads.net": None, "wa.me": None, "whatsapp.com": None, "discord.gg": None, "discord.com": None,
 }
-SECOND_LEVEL = "co com net org gov edu ac or ne go in info biz mil sch".split()
-NO_BRAND = "www www1 www2 m mobile docs blog en de es fr ja zh ru pt tr uk xen".split()
+SECOND_LEVEL = ["co", "com", "net", "org", "gov", "edu", "ac", "or", "ne", "go", "in", "info", "biz", "mil", "sch"]
+NO_BRAND = ["www", "www1", "www2", "m", "mobile", "docs", "blog", "en", "de", "es", "fr", "ja", "zh", "ru", "pt", "tr", "uk", "xen"]
 OTHER_SCHEMES = ["mailto:", "tel:", "javascript:", "data:", "ftp:", "file:", "sms:", "callto:", "whatsapp:", "skype:"]
 
 _URL = r"^(https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -165,7 +165,7 @@ def brand_from_domain(domain: Column) -> Column:
     kept = F.filter(labels, lambda x, i: F.exists(F.slice(labels, 1, i + 1), lambda y: ~y.isin(NO_BRAND)))
     body = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
     words = F.when(F.size(body) > 0, body).otherwise(F.array(F.substring_index(domain, ".", 1)))
-    capital = F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1000))))
+    capital = F.transform(words, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2)))))
     return F.when(F.coalesce(domain, F.lit("")) == "", "").otherwise(F.array_join(capital, " "))
 
 

@@ -132,8 +132,8 @@ def extract(fetched: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             "styles": F.array_compact(F.transform(F.filter(p["links"], lambda x: F.array_contains(x["rels"], "stylesheet")), lambda x: x["url"])),
             "feeds": F.array_compact(F.transform(F.filter(p["links"], lambda x: F.array_contains(x["rels"], "alternate") & (x["type"].contains("rss") | x["type"].contains("atom") | (x["type"].contains("xml") & F.contains(F.lower(x["href"]), F.lit("feed"))))), lambda x: x["url"])),
             "alternates": F.array_compact(F.transform(F.filter(p["links"], lambda x: x["hreflang"] != ""), lambda x: x["url"])),
-            "mailto_links": _sorted(F.transform(F.filter(p["anchors"], lambda a: F.lower(a["href"]).startswith("mailto:")), lambda a: F.trim(F.substring_index(F.substring(a["href"], 8, 100000), "?", 1)))),
-            "tel_links": _sorted(F.transform(F.filter(p["anchors"], lambda a: F.lower(a["href"]).startswith("tel:")), lambda a: F.trim(F.substring_index(F.substring(a["href"], 5, 100000), "?", 1)))),
+            "mailto_links": _sorted(F.transform(F.filter(p["anchors"], lambda a: F.lower(a["href"]).startswith("mailto:")), lambda a: F.trim(F.substring_index(F.substr(a["href"], F.lit(8)), "?", 1)))),
+            "tel_links": _sorted(F.transform(F.filter(p["anchors"], lambda a: F.lower(a["href"]).startswith("tel:")), lambda a: F.trim(F.substring_index(F.substr(a["href"], F.lit(5)), "?", 1)))),
         }
     )
     b, text, own, headings = F.col("blocks"), F.col("full_text"), F.col("domain"), F.filter(F.col("blocks"), lambda x: x["tag"].rlike("^h[1-6]$"))

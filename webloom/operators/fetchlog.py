@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.operators.ordered import at_positions, numbered, running_max, running_sum
+from webloom.operators.sized import checkpointed, rows_with_keys
 
 # Fixed values.
 RETRIED_STATUS = [202, 429, 500, 502, 503, 504]
@@ -17,6 +18,18 @@ def fetches(log: DataFrame, columns: list[str]) -> DataFrame:
     return log.select("fetch_id", *columns).where(F.col("fetch_id").isNotNull()).dropDuplicates(["fetch_id"])
 
 
+def fetches_with_bodies(log: DataFrame, columns: list[str]) -> DataFrame:
+    """As ``fetches``, for columns as wide as pages: only fetches that occur twice or more are shuffled with them."""
+    rows = log.select("fetch_id", *columns).where(F.col("fetch_id").isNotNull())
+    repeated = checkpointed(rows.groupBy("fetch_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fetch_id"))
+    return rows_with_keys(rows, repeated, "fetch_id", how="left_anti").unionByName(rows_with_keys(rows, repeated, "fetch_id").dropDuplicates(["fetch_id"])).select("fetch_id", *columns)
+
+
+def with_page_bytes(log: DataFrame) -> DataFrame:
+    """``log`` with ``page_bytes``, so that pages themselves needn't go where their size is wanted."""
+    return log.withColumn("page_bytes", F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint"))
+
+
 def outcome(status: Column, body: Column, failure: Column, robots_allowed: Column) -> Column:
     """``fetch_status`` from a response: ``failure`` names the exception's class, if there was one."""
     return (
@@ -90,10 +103,10 @@ def health(log: DataFrame, by: list[str]) -> DataFrame:
 
 def worker_totals(log: DataFrame, worker: str = "proxy") -> DataFrame:
     """Totals of each worker with its first and last address; fetches without a worker form one group."""
-    rows = fetches(log, [worker, "fetch_status", "timing", "html", "url", "fetched_at"])
+    rows = fetches(with_page_bytes(log), [worker, "fetch_status", "timing", "page_bytes", "url", "fetched_at"])
     return rows.groupBy(worker).agg(
         F.count(F.lit(1)).alias("done"), F.count_if(F.col("fetch_status") == "ok").alias("ok"), F.count_if(~F.coalesce(F.col("fetch_status") == "ok", F.lit(False))).alias("failed"),
-        F.sum("timing").alias("total_ms"), F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint")).alias("total_bytes"),
+        F.sum("timing").alias("total_ms"), F.sum("page_bytes").alias("total_bytes"),
         F.min_by("url", F.struct("fetched_at", "fetch_id")).alias("first_url"), F.max_by("url", F.struct("fetched_at", "fetch_id")).alias("last_url"),
     )
 
@@ -160,9 +173,9 @@ def human_duration(seconds: Column) -> Column:
 
 def run_summary(log: DataFrame) -> DataFrame:
     """One nested row: results, throughput over the log's span, data quality, domains, response times and health."""
-    rows = fetches(log, ["fetch_status", "fetched_at", "html", "host"])
+    rows = fetches(with_page_bytes(log), ["fetch_status", "fetched_at", "page_bytes", "host"])
     base = rows.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("fetch_status") == "ok").alias("n_ok"), F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint")), F.lit(0)).alias("total_bytes"),
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("fetch_status") == "ok").alias("n_ok"), F.coalesce(F.sum("page_bytes"), F.lit(0)).alias("total_bytes"),
         F.coalesce((F.max(F.unix_millis("fetched_at")) - F.min(F.unix_millis("fetched_at"))) / 1000.0, F.lit(0.0)).alias("elapsed"), F.countDistinct(F.nullif("host", F.lit(""))).alias("unique_domains"),
     )
     entries = lambda df, key: df.agg(F.collect_list(F.struct(F.col(key).alias("key"), "n")).alias("x"))

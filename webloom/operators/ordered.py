@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+VALUES_PER_BUCKET = 256
+
 
 def numbered(df: DataFrame, by: Sequence[str], bucket: Column, order: Sequence[str], name: str = "rn") -> DataFrame:
     """``df`` with the 0-based number of each row among the rows of ``by``, ordered by ``bucket`` and then ``order``.
@@ -59,11 +61,10 @@ def _null_safe(rows: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFr
 def at_positions(values: DataFrame, value: str, positions: Column) -> DataFrame:
     """``(value, first, last)``: of each distinct value the 0-based places that it takes in ascending order.
 
-    Equal values are counted before anything is ordered, so the window sees the distinct values only.  ``positions`` is a
+    Equal values are counted before anything is ordered; the window of the whole order sees sums of ``VALUES_PER_BUCKET`` neighbouring values.  ``positions`` is a
     condition on ``first``, ``last`` and ``n``, the number of all values.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
-    up_to = F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    n = F.sum("_c").over(Window.partitionBy(F.lit(0)))
-    placed = counts.select(value, up_to.alias("_up"), "_c", n.alias("n")).select(value, (F.col("_up") - F.col("_c")).alias("first"), (F.col("_up") - 1).alias("last"), "n")
+    counts = values.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_bucket", F.floor(F.col(value) / VALUES_PER_BUCKET))
+    placed = running_sum(counts, [], F.col("_c"), [value], "_up").crossJoin(F.broadcast(counts.agg(F.sum("_c").alias("n"))))  # one row
+    placed = placed.select(value, (F.col("_up") - F.col("_c")).alias("first"), (F.col("_up") - 1).alias("last"), "n")
     return placed.where(positions)

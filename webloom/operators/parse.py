@@ -16,7 +16,7 @@ PAGE = (
     "jsonld:struct<types:array<string>, emails:array<string>, phones:array<string>, name:string, description:string, url:string, founding:string, phone:string, logo:string, location:string>, "
     "og_image_url:string, favicon:string, favicon_url:string, error:string>"
 )
-_FIELDS = [f.split(":")[0].strip() for f in "title:lang:meta_charset:metas:links:anchors:images:sources:media:iframes:scripts:forms:blocks:jsonld:og_image_url:favicon:favicon_url:error".split(":")]
+_FIELDS = ["title", "lang", "meta_charset", "metas", "links", "anchors", "images", "sources", "media", "iframes", "scripts", "forms", "blocks", "jsonld", "og_image_url", "favicon", "favicon_url", "error"]
 _EMPTY = {"title": "", "lang": "", "meta_charset": None, "forms": 0, "jsonld": {k: None for k in ("name", "description", "url", "founding", "phone", "logo", "location")} | {"types": [], "emails": [], "phones": []}, "og_image_url": None, "favicon": "", "favicon_url": None}
 
 

@@ -2,38 +2,31 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows of one BIGINT column that are small enough to copy to every executor (16 bytes each there).
-BROADCAST_KEYS = 1_000_000
+BROADCAST_KEYS = 250_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir``, which all executors share, and read from there.
 
-    Only where the session names no folder, as in tests, one is made on this machine.
+    Only where the session names no folder and runs on this machine alone, as in tests, one is made here; on a cluster that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="webloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files whose lineage a checkpoint has cut, rather than at its next full collection."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)  # references are given back by a thread of their own
-        spark.sparkContext._jvm.java.lang.System.gc()
-        time.sleep(0.3)
-
-
 def rows_with_keys(df: DataFrame, keys: DataFrame, key: str, limit: int = BROADCAST_KEYS, how: str = "left_semi") -> DataFrame:
     """Semi or anti join on one column; ``keys`` is broadcast if it counts at most ``limit`` rows, else shuffled.
 

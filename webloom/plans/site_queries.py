@@ -149,7 +149,7 @@ def full_extract_90(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fetched_extract_90(spark: SparkSession, d: str) -> DataFrame:
     """The 90 columns of all fetches, failed ones included, each fetch once."""
-    log = fetchlog.fetches(table(spark, d, "fetch_log"), ["url", "final_url", "http_status", "fetch_status", "fetch_error", "html", "timing", "headers"])
+    log = fetchlog.fetches_with_bodies(table(spark, d, "fetch_log"), ["url", "final_url", "http_status", "fetch_status", "fetch_error", "html", "timing", "headers"])
     return schema.to_wire(extraction.extract(log, ("fetch_id",)))
 
 
@@ -270,9 +270,10 @@ def round_robin(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_F} SELECT fetch_id, CASE WHEN fetch_status = 'robots_disallowed' THEN 'robots_disallowed' WHEN fetch_status IN ('timeout','ssl_error','proxy_error','connection_error','redirect_loop') THEN fetch_status WHEN fetch_status = 'error' THEN 'error' WHEN http_status = 200 AND trim(coalesce(html, '')) = '' THEN 'empty_response'
 WHEN http_status = 200 THEN 'ok' WHEN http_status IS NOT NULL THEN 'http_error' ELSE 'error' END AS outcome, coalesce(http_status IN (202, 429, 500, 502, 503, 504), false) OR coalesce(fetch_status IN ('timeout','connection_error','empty_response'), false) AS retried FROM f""")
 def fetch_outcome(spark: SparkSession, d: str) -> DataFrame:
-    log = fetchlog.fetches(table(spark, d, "fetch_log"), ["http_status", "fetch_status", "html"])
+    marked = table(spark, d, "fetch_log").withColumn("body", F.when(F.trim(F.coalesce("html", F.lit(""))) == "", "").otherwise("x"))  # whether there's text is all that counts
+    log = fetchlog.fetches(marked, ["http_status", "fetch_status", "body"])
     failed = F.when(F.col("fetch_status").isin("timeout", "ssl_error", "proxy_error", "connection_error", "redirect_loop", "error"), F.col("fetch_status"))
-    out = fetchlog.outcome(F.col("http_status"), F.col("html"), failed, ~F.coalesce(F.col("fetch_status") == "robots_disallowed", F.lit(False)))
+    out = fetchlog.outcome(F.col("http_status"), F.col("body"), failed, ~F.coalesce(F.col("fetch_status") == "robots_disallowed", F.lit(False)))
     return log.select("fetch_id", out.alias("outcome"), fetchlog.is_retried(F.col("http_status"), F.col("fetch_status")).alias("retried"))
 
 

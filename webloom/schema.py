@@ -11,22 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 # Names in the order of the table; S string, I int, N bigint, L list of strings, B boolean.
-_COLUMNS = """
-url:S final_url:S http_status:I fetch_status:S fetch_error:S page_title:S domain:S site_name:S
-meta_description:S meta_keywords:S og_title:S og_description:S og_type:S og_image:S og_url:S og_site_name:S og_locale:S
-twitter_card:S twitter_title:S twitter_description:S twitter_image:S twitter_handle:S
-canonical_url:S robots_meta:S viewport:S language:S charset:S favicon:S generator:S
-h1_text:S h1_count:I h2_count:I h3_count:I h4_count:I word_count:I character_count:I rendering_type:S
-internal_links:I internal_links_list:L external_links:I external_links_list:L total_links:I external_domains:I external_domains_list:L
-all_urls_count:I all_urls:L image_urls_count:I image_urls:L
-images_count:I images_missing_alt:I document_links_count:I document_links:L media_urls_count:I media_urls:L iframe_urls:L iframes_count:I
-script_urls:L scripts_count:I stylesheet_urls:L styles_count:I rss_feeds:L hreflang_urls:L nav_links:L forms_count:I
-social_links:L facebook_url:S linkedin_url:S instagram_url:S youtube_url:S github_url:S mailto_links:L tel_links:L contact_emails:L contact_phones:L
-org_name:S org_description:S org_logo:S org_url:S org_founding_date:S org_location:S org_phone:S jsonld_types:L
-https:B technology:S technology_evidence:S copyright_text:S page_size_bytes:N response_time_ms:N
-headings_outline:S visible_text_preview:S
-"""
-KINDS: dict[str, str] = dict(c.split(":") for c in _COLUMNS.split())
+KINDS: dict[str, str] = {
+    "url": "S", "final_url": "S", "http_status": "I", "fetch_status": "S", "fetch_error": "S", "page_title": "S", "domain": "S", "site_name": "S", "meta_description": "S", "meta_keywords": "S",
+    "og_title": "S", "og_description": "S", "og_type": "S", "og_image": "S", "og_url": "S", "og_site_name": "S", "og_locale": "S", "twitter_card": "S", "twitter_title": "S",
+    "twitter_description": "S", "twitter_image": "S", "twitter_handle": "S", "canonical_url": "S", "robots_meta": "S", "viewport": "S", "language": "S", "charset": "S", "favicon": "S",
+    "generator": "S", "h1_text": "S", "h1_count": "I", "h2_count": "I", "h3_count": "I", "h4_count": "I", "word_count": "I", "character_count": "I", "rendering_type": "S", "internal_links": "I",
+    "internal_links_list": "L", "external_links": "I", "external_links_list": "L", "total_links": "I", "external_domains": "I", "external_domains_list": "L", "all_urls_count": "I", "all_urls": "L",
+    "image_urls_count": "I", "image_urls": "L", "images_count": "I", "images_missing_alt": "I", "document_links_count": "I", "document_links": "L", "media_urls_count": "I", "media_urls": "L",
+    "iframe_urls": "L", "iframes_count": "I", "script_urls": "L", "scripts_count": "I", "stylesheet_urls": "L", "styles_count": "I", "rss_feeds": "L", "hreflang_urls": "L", "nav_links": "L",
+    "forms_count": "I", "social_links": "L", "facebook_url": "S", "linkedin_url": "S", "instagram_url": "S", "youtube_url": "S", "github_url": "S", "mailto_links": "L", "tel_links": "L",
+    "contact_emails": "L", "contact_phones": "L", "org_name": "S", "org_description": "S", "org_logo": "S", "org_url": "S", "org_founding_date": "S", "org_location": "S", "org_phone": "S",
+    "jsonld_types": "L", "https": "B", "technology": "S", "technology_evidence": "S", "copyright_text": "S", "page_size_bytes": "N", "response_time_ms": "N", "headings_outline": "S",
+    "visible_text_preview": "S",
+}
 COLUMNS = list(KINDS)
 LISTS = [c for c, k in KINDS.items() if k == "L"]
 NUMBERS = [c for c, k in KINDS.items() if k in "IN"]
@@ -72,9 +69,9 @@ def _to_wire(name: str) -> Column:
     return c.cast("string")
 
 
-def to_wire(df: DataFrame) -> DataFrame:
-    """Typed rows as 90 strings, NULL as ``''``; other columns are dropped."""
-    return df.select(*[F.coalesce(_to_wire(c), F.lit("")).alias(c) for c in COLUMNS])
+def to_wire(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed rows as 90 strings, NULL as ``''``, after the columns ``keep``; others are dropped."""
+    return df.select(*keep, *[F.coalesce(_to_wire(c), F.lit("")).alias(c) for c in COLUMNS])
 
 
 def _to_typed(name: str) -> Column:
@@ -90,6 +87,6 @@ def _to_typed(name: str) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def to_typed(df: DataFrame) -> DataFrame:
-    """Wire rows with their native types; the inverse of ``to_wire`` for rows that it made."""
-    return df.select(*[_to_typed(c).alias(c) for c in COLUMNS])
+def to_typed(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Wire rows with their native types, after the columns ``keep``; the inverse of ``to_wire`` for rows that it made."""
+    return df.select(*keep, *[_to_typed(c).alias(c) for c in COLUMNS])
