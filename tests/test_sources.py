@@ -6,9 +6,10 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 
 from webloom import api, schema
+from webloom.operators import audit
 from webloom.operators.extract import extract
 from webloom.operators.fetchlog import pending
-from webloom.sources import http, sinks
+from webloom.sources import http, sinks, url_lists
 from webloom.sources.url_lists import read_proxies, read_urls
 from webloom.streaming import pipeline
 
@@ -119,6 +120,77 @@ def test_fetch_keeps_robots_rules_and_follows_refreshes(spark):
         server.shutdown()
 
 
+class Linked(BaseHTTPRequestHandler):
+    seen: list = []
+
+    def do_GET(self):
+        Linked.seen.append(self.path)
+        base = f"http://127.0.0.1:{self.server.server_port}"
+        pages = {
+            "/robots.txt": "User-agent: *\nDisallow: /private\n", "/sitemap.xml": f"<sitemapindex><sitemap><loc>{base}/more.xml</loc></sitemap></sitemapindex>", "/more.xml": f"<urlset><url><loc>{base}/listed</loc></url></urlset>",
+            "/": "<a href='/a'>a</a><a href='/a#x'>again</a><a href='/private/x'>p</a><a href='http://elsewhere.invalid/'>out</a><a href='/pic.png'>pic</a><a href='/data'>d</a>", "/a": "<a href='/b'>b</a><a href='/'>home</a>", "/b": "<a href='/c'>c</a>", "/data": "<a href='/hidden'>h</a>",
+        }
+        self.send_response(200 if self.path in pages else 404)
+        self.send_header("Content-Type", "application/json" if self.path == "/data" else "text/html")
+        self.end_headers()
+        self.wfile.write(pages.get(self.path, "none").encode())
+
+    def log_message(self, *a):
+        pass
+
+
+def test_crawl(spark):
+    server = HTTPServer(("127.0.0.1", 0), Linked)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        got = {(r.url[len(base) :], r.depth, r.fetch_status) for r in api.discover(spark, [base + "/"], api.load_settings(retries=0, max_depth=2)).collect()}
+        assert got == {("/", 0, "ok"), ("/a", 1, "ok"), ("/data", 1, "ok"), ("/private/x", 1, "robots_disallowed"), ("/b", 2, "ok")}
+        assert "/private/x" not in Linked.seen and "/pic.png" not in Linked.seen
+        got = {r.url[len(base) :] for r in api.discover(spark, [base + "/"], api.load_settings(retries=0, max_depth=0), from_sitemaps=True).collect()}
+        assert got == {"/", "/listed"}
+        assert api.discover(spark, [base + "/"], api.load_settings(retries=0, max_depth=2, max_urls=3)).count() == 3
+    finally:
+        server.shutdown()
+
+
+def test_json_resume_keeps_what_is_there(spark, tmp_path):
+    server = HTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, out = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "o.json")
+    wanted = lambda *paths: spark.createDataFrame([(base + p,) for p in paths], "url string")
+    try:
+        api.run(spark, wanted("/", "/x"), out, api.load_settings(retries=0))
+        api.run(spark, wanted("/", "/x", "/blank"), out, api.load_settings(retries=0), resume=True)
+        assert sorted(r.url[len(base) :] for r in sinks.read(spark, out).collect()) == ["/", "/blank", "/x"]
+    finally:
+        server.shutdown()
+
+
+def test_csv_file_is_mended(spark, tmp_path):
+    rows, path = page_rows(spark), str(tmp_path / "one.csv")
+    assert sinks.write_csv_file(rows, path) == 2
+    data = open(path, "rb").read()
+    assert data.startswith(b"\xef\xbb\xbfurl,") and data.count(b"\r\n") >= 3
+    with open(path, "ab") as f:
+        f.write(b'https://a.test/torn,"half\n of a')
+    sinks.write_csv_file(rows.limit(1), path, append=True)
+    again = sinks.read_csv(spark, path)
+    assert again.count() == 3 and again.where("url LIKE '%torn%'").count() == 0
+    assert sinks.rebuilt_json_document(spark, path, str(tmp_path / "r.json")) == 3 == sinks.whole_rows(spark, str(tmp_path / "r.json"))
+    assert sinks.reconciled(again, rows).count() == 0 and [r.url for r in sinks.reconciled(again, rows.where("url LIKE '%2'")).collect()] == ["https://a.test/1"]
+    sinks.write_json_lines(rows, str(tmp_path / "m.jsonl"), meta={"run": 1})
+    assert spark.read.text(str(tmp_path / "m.jsonl")).where("value LIKE '{\"_meta\"%'").count() == 1 and sinks.read_json_lines(spark, str(tmp_path / "m.jsonl")).count() == 2
+
+
+def test_more_lists_and_widths(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("URL,x\nhttps://a.test,1\n,2\n\"b.test\",3\n")
+    assert [r.url for r in url_lists.first_column(spark, str(tmp_path / "f.csv")).orderBy("seq").collect()] == ["https://a.test", "b.test"]
+    assert [r.url for r in url_lists.urls_of_stream(spark, ["# c\n", "a.test\n", "\n", "b.test"]).orderBy("seq").collect()] == ["a.test", "b.test"]
+    cells = spark.createDataFrame([(["x"] * 90,), (["x"] * 89,), (["x"] * 89 + [None],)], "cells array<string>")
+    assert {(r.row_columns, r.n) for r in audit.width_faults(cells).collect()} == {(89, 1), (-1, 1)}
+
+
 def test_settings(tmp_path, monkeypatch):
     (tmp_path / "webloom.toml").write_text("[network]\ntimeout = 5\nretries = 'bad'\n")
     monkeypatch.setenv("WEBLOOM_DELAY", "0.5")

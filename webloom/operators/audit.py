@@ -25,3 +25,9 @@ def violations(rows: DataFrame, key: str = "url") -> DataFrame:
 def audit_histogram(rows: DataFrame) -> DataFrame:
     """Rows by fetch status, most first."""
     return rows.groupBy("fetch_status").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "fetch_status")
+
+
+def width_faults(rows: DataFrame) -> DataFrame:
+    """``(row_columns, n)`` of wire rows as arrays of cells in ``cells``: how many rows have another number of cells than there are columns, or a NULL cell (-1)."""
+    width = F.when(F.exists("cells", lambda c: c.isNull()), F.lit(-1)).otherwise(F.size("cells"))
+    return rows.groupBy(width.alias("row_columns")).agg(F.count(F.lit(1)).alias("n")).where(F.col("row_columns") != len(COLUMNS))

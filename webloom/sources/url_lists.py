@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,3 +70,15 @@ def read_proxies(spark: SparkSession, path: str) -> DataFrame:
     """Proxies of a file, one a line; comments are dropped and a missing scheme is ``http://``."""
     lines = _numbered(spark, path).select("seq", F.trim(F.substring_index("line", "#", 1)).alias("p")).where("p <> ''")
     return lines.select("seq", F.when(F.contains("p", F.lit("://")), F.col("p")).otherwise(F.concat(F.lit("http://"), F.col("p"))).alias("proxy"))
+
+
+def first_column(spark: SparkSession, path: str) -> DataFrame:
+    """``(seq, url)``: the first cell of each row of a delimited file in order, a header and blank cells left out."""
+    rows = _numbered(spark, path).select("seq", F.trim(F.regexp_replace(F.substring_index("line", ",", 1), '^"|"$', "")).alias("url"))
+    return rows.where((F.col("url") != "") & ~((F.col("seq") == 0) & F.lower("url").isin(HEADER_NAMES)))
+
+
+def urls_of_stream(spark: SparkSession, stream: Iterable[str]) -> DataFrame:
+    """``(seq, url)`` of lines that a program is given, such as ``sys.stdin``."""
+    lines = spark.createDataFrame(list(enumerate(line.rstrip("\r\n") for line in stream)), "seq bigint, line string")
+    return url_lines(lines).select("seq", F.col("line").alias("url"))
