@@ -108,6 +108,24 @@ def test_garbled(spark):
     assert mojibake.garbled(sites(spark, rows).limit(0)).count() == 0
 
 
+def test_lattice_and_its_paths():
+    edges = mojibake.lattice("Ã©tÃ©x", "cp1252")
+    assert edges == [(0, 2, "é"), (3, 5, "é")]
+    assert set(mojibake.paths("Ã©tÃ©x", edges)) == {("étéx", 2, 2), ("étÃ©x", 1, 1), ("Ã©téx", 1, 1)}
+    assert mojibake.lattice("Ã\ufffd", "cp1252") == [(0, 2, "\ufffd")] and mojibake.lattice("abc", "cp1252") == []
+    assert mojibake.paths("abÃ", mojibake.lattice("abÃ", "cp1252")) == []  # a run that the end cuts off, and nothing beside it
+    long = "Ã©" * 20_000
+    assert mojibake.paths(long, mojibake.lattice(long, "cp1252"))[0] == ("é" * 20_000, 20_000, 20_000)
+    assert mojibake._filled("Veld\ufffd", "veld…") == "Veld…" and mojibake._filled("CR\ufffdME", "crème") == "CRÈME"
+
+
+def test_lost_letters_of_words_of_one_length(spark):
+    words = ["слово", "число", "место", "дерево", "молоко"]
+    rows = [(i, "h", w, None, None) for i, w in enumerate(words * 3)] + [(100, "h", "сл\ufffdво", None, None), (101, "h", "м\ufffd\ufffdто", None, None), (102, "h", "мо\ufffd\ufffd\ufffdо", None, None)]
+    got = {r.doc_id: r.restored for r in mojibake.garbled(sites(spark, rows)).collect()}
+    assert got == {100: "слово", 101: "место", 102: "молоко"}
+
+
 def test_similar_pairs_against_brute_force(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(60)]
