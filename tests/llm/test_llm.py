@@ -196,6 +196,11 @@ def test_mixture(spark):
     assert shares["other"].tokens == 0 and shares["gone"].tokens == 0
     finish = [x.finish for x in out]
     assert finish == sorted(finish)
+    # A budget beyond the caps of some: the others fill it.
+    large = mixing.Mixture(sized, targets, budget=int(sum(n for _, s, n in docs if s in ("big", "mid")) * 1.1))
+    given = {x.source: x for x in large.shares().collect()}
+    assert sum(x.tokens for x in given.values()) > 0.98 * large.budget and given["big"].repeats > 0.8 and given["tiny"].repeats == pytest.approx(3)
+    assert mixing._virtual_end(10, [(0.5, 2.0), (0.5, 100.0)]) == 16 and mixing._virtual_end(10, [(0.5, 2.0)]) == 4 and mixing._virtual_end(10, []) == 0
     empty = mixing.Mixture(sized.limit(0), targets)
     assert empty.sequence().count() == 0 and empty.shares().count() >= 1
 

@@ -26,11 +26,23 @@ def sized_documents(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY)
     return token_counts(rows, ["doc_id", "source"], vocabulary=vocabulary).where("n_tokens > 0")
 
 
+def _virtual_end(budget: float, sources: list[tuple[float, float]]) -> float:
+    """The virtual time at which sources of ``(weight, most tokens)`` have given ``budget`` tokens together; that of the last end if they never do."""
+    now, given, active = 0.0, 0.0, sorted((most / weight, weight) for weight, most in sources)
+    while active:
+        rate = sum(weight for _, weight in active)
+        if given + (active[0][0] - now) * rate >= budget:
+            return now + (budget - given) / rate
+        given, now = given + (active[0][0] - now) * rate, active[0][0]
+        active = active[1:]
+    return now
+
+
 class Mixture:
     """A mixture of ``sized`` ``(doc_id, source, n_tokens)`` to ``targets`` ``(source, target_share, max_repeats)``.
 
     Without a ``budget`` the total is the largest at which every source present reaches its share within its cap.  With one,
-    sources that run out give less, and the reported shares say so.  Sources with a target but no document, and documents
+    sources that run out give less, the others more by their weights, and the reported shares say so; the mixture falls short of the budget only where all have run out.  Sources with a target but no document, and documents
     whose source is NULL or has no positive target, take no part; the remaining targets are scaled to 1.  Of targets that name a
     source twice the larger share and cap hold.  A document repeated under one id is one document of each row.
     """
@@ -46,7 +58,9 @@ class Mixture:
         self.weights = {r.source: r.target_share / total for r in plan}
         reach = [r.cap * r.available / self.weights[r.source] for r in plan]
         self.budget = (min(reach) if reach else 0.0) if budget is None else float(budget)
-        rows = [(r.source, self.weights[r.source], min(r.cap, -int(-self.budget * self.weights[r.source] // r.available) + 1)) for r in plan]
+        #: Virtual time at which the budget is served: sources that have run out leave their part to the others.
+        self.end = _virtual_end(self.budget, [(self.weights[r.source], float(r.cap * r.available)) for r in plan])
+        rows = [(r.source, self.weights[r.source], min(r.cap, -int(-self.end * self.weights[r.source] // r.available) + 1)) for r in plan]
         spark = sized.sparkSession
         self.plan = spark.createDataFrame(rows, "source string, weight double, rounds int")
         copies = sum(r.docs for r in plan)
@@ -62,7 +76,7 @@ class Mixture:
         within = F.sum("n_tokens").over(Window.partitionBy("source", "copy", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
         served = queued.withColumn("within", within).join(sums, ["source", "copy", "bucket"])
         finish = (F.col("before") + F.col("within")) / F.col("weight")
-        served = served.withColumn("finish", finish).where(F.col("finish") <= self.budget * (1 + 1e-12))
+        served = served.withColumn("finish", finish).where(F.col("finish") <= self.end * (1 + 1e-12))
         return served.select("doc_id", "source", "copy", "n_tokens", "finish").orderBy("finish", "source", "copy", "doc_id")
 
     def shares(self) -> DataFrame:
