@@ -146,10 +146,10 @@ def _words(line: Column) -> Column:
 
 
 def _strangers(words: Column, *vocabularies: str) -> tuple[Column, Column]:
-    """The number of words, and of those that none of the vocabularies has."""
-    listed = F.split(F.trim(words), " ")
-    known = sorted({w for v in vocabularies for w in v.split()})
-    return F.size(listed), F.size(F.filter(listed, lambda w: ~w.isin(known)))
+    """The number of different words, and of those that none of the vocabularies has."""
+    listed = F.array_distinct(F.split(F.trim(words), " "))
+    known = F.split(F.lit(" ".join(vocabularies)), " ")  # folded to one constant
+    return F.size(listed), F.size(F.array_except(listed, known))
 
 
 def evidence(line: Column, words: Column | None = None) -> Column:
