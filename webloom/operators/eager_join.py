@@ -3,8 +3,9 @@
 Method: eager aggregation through joins.  Both inputs are aggregated by the join key before the
 join, so the join sees at most one compact state a key and side; counts of joined rows are the
 product of the sides' counts, sums over one side are multiplied by the other side's count, and the
-result is rolled up to any coarser grouping.  No row of a heavy key is ever shuffled
-by itself: partial aggregation reduces it within its input split.
+result is rolled up to any coarser grouping.  Sums and counts of a heavy key are
+reduced within each input split before they're shuffled; only where distinct values are counted do its rows go in a shuffle
+on key and value, which spreads them over all tasks.
 """
 
 from __future__ import annotations
