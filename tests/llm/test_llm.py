@@ -2,8 +2,10 @@ import os
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +166,48 @@ def test_similar_pairs_against_brute_force(spark):
     assert neardup.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_similar_pairs_send_no_keys_through_the_driver(spark):
+    r = random.Random(5)
+    texts = [[f"w{r.randrange(40)}" for _ in range(40)] for _ in range(12)]
+    rows = [(i, "h", None, None, " ".join(texts[i % 12][:35] + [f"end{i}"])) for i in range(36)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = neardup.Similar(sites(spark, rows), "site_id", ("visible_text_preview",), 3, 0.5, 30).pairs()
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 36
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _candidates(rows):
+    """What comes of ``(shingle, size, class, place)``: the weight of each pair, and the marked classes of each long run."""
+    x, k, place = zip(*sorted((h << neardup.SIZE_BITS | n, k, p) for h, n, k, p in rows), strict=True)
+    batches = [pa.RecordBatch.from_arrays([pa.array(x[i : i + 4], pa.int64()), pa.array(k[i : i + 4], pa.int64()), pa.array(place[i : i + 4], pa.int32())], names=["x", "k", "place"]) for i in range(0, len(x), 4)]
+    weights, marked = Counter(), {}
+    for batch in neardup._pairs(Fraction("0.5"))(iter(batches)):
+        for row in batch.to_pylist():
+            if row["x"] is None:
+                weights[row["k_s"], row["k_l"]] += row["weight"]
+            else:
+                marked.setdefault(row["x"] >> neardup.SIZE_BITS, set()).add(row["k_s"])
+    return weights, marked
+
+
+def test_pairs_of_few_common_shingles_are_no_candidates():
+    # 1 and 2 share one shingle of 60, 3 and 4 three, 5 and 6 have two shingles each and share them.
+    rows = [(1, 60, 1, 0), (1, 60, 2, 0), *((h, 60, k, h - 2) for h in (2, 3, 4) for k in (3, 4)), *((h, 2, k, h - 5) for h in (5, 6) for k in (5, 6))]
+    weights, _ = _candidates(rows)
+    assert weights[1, 2] < neardup.COMMON <= min(weights[3, 4], weights[5, 6])
+
+
+def test_copies_do_not_shorten_a_long_run(monkeypatch):
+    monkeypatch.setattr(neardup, "LONG_RUN", 3)
+    rows = [(1, 60, k, 0) for k in (1, 2, 3, 4, 5, 6, 7, 8, 8, 8, 8)]
+    weights, marked = _candidates(rows)
+    assert marked == {1: set(range(1, 9))} and not weights
+
+
 @needs_vocabulary
 def test_ids_equal_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")

@@ -9,7 +9,9 @@ A grid over the embedding alone can't find the pairs: at a similarity of 0.5 the
 records' sizes, as wide as the spread of the embedding's coordinates, so that any grid of few dimensions joins nearly every
 cell with every other (the README has the measured shares).  So the grid's first coordinate is a rare shingle, and its second
 the record's size, range-joined under the same bound.  With shingles ordered from rare to frequent, two records of similarity ``t`` share
-one of the first ``n - ceil(t n) + 1`` of each (prefix filtering), which loses no pair; beyond it the place in the order bounds the overlap.
+``c`` of the first ``n - ceil(t n) + c`` of each (prefix filtering), or all that they share if that is fewer, which loses no pair;
+beyond it the place in the order bounds the overlap.  Unlike records often share one such shingle by chance, seldom ``COMMON``, so
+pairs are counted as they are united and few of them go on.
 
 How rare a shingle is comes from a sketch of counters, of a fixed size whatever the corpus.  Any order that all records
 share is right; the sketch only makes it a good one.
@@ -30,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm.sketch import counted
-from webloom.operators.sized import checkpointed, rows_with_keys, shuffle_partitions
+from webloom.operators.sized import checkpointed, shuffle_partitions
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENTS = 64  # four bits a segment; a count above 15 stays 15, which keeps the bound
 SKETCH_BITS = 24  # logarithm of the sketch's counters: 16 MB once they are levels, sent to every executor
 LONG_RUN = 20_000  # records that share a shingle within their prefixes and are compared in one task; longer runs are joined in salted cells
+MARK_BITS = 24  # logarithm of the bits that mark classes whose sets are needed: 2 MB, sent to every executor, whatever their number
+COMMON = 3  # shingles that a pair of records shares within their prefixes, if the threshold asks for as many
 REMEMBERED = 500_000  # words, or classes, that a task remembers before it forgets them all
 # A shingle travels as one long: 40 bits of hash, which order and join shingles (two that fall together only add a
 # candidate), and 18 bits of its record's size.  A record beyond that size has its whole set as prefix.
@@ -150,14 +154,16 @@ def _prefixes(threshold: Fraction, levels):
         level = levels.value[s >> np.uint64(48 - SKETCH_BITS)].astype(np.uint64)
         row = np.repeat(np.arange(len(k), dtype=np.uint64), sizes)
         order = np.sort(row << np.uint64(54) | level << np.uint64(48) | s)
+        short = order >> np.uint64(8)
+        again = np.append(False, short[1:] == short[:-1])[: len(short)]  # its set's shingle before has the same 40 bits, and they would count as one
         own = np.repeat(np.arange(len(k)), sizes)
         rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         n = np.minimum(sizes, LARGEST)
-        take = np.where(n == LARGEST, sizes, sizes - -(-sizes * threshold.numerator // threshold.denominator) + 1)
+        take = np.where(n == LARGEST, sizes, sizes - -(-sizes * threshold.numerator // threshold.denominator) + COMMON)
         elsewhere = (order >> np.uint64(48) & np.uint64(63)) > 0  # a counter of one is this record's own
         keep = (rank < take[own]) & elsewhere
         own, place = own[keep], np.where(n[own] == LARGEST, 0, rank)[keep].astype(np.int32)
-        x = (order[keep] >> np.uint64(8) & np.uint64((1 << 40) - 1)).astype(np.int64) << SIZE_BITS | n[own]
+        x = ((short & np.uint64((1 << 40) - 1)).astype(np.int64) ^ again)[keep] << SIZE_BITS | n[own]
         return pa.RecordBatch.from_arrays([pa.array(x), pa.array(k[own]), pa.array(place)], names=["x", "k", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,22 +187,24 @@ def _prefixes(threshold: Fraction, levels):
 
 def _pairs(threshold: Fraction):
     """Candidate pairs among ``(x, k, place)`` sorted by ``x`` and ``k``, hence by shingle and, within it, by the record's size: a range
-    join over sizes.  Runs longer than ``LONG_RUN`` come out as they are, with their ``x``."""
+    join over sizes.  ``weight`` comes to ``COMMON`` over the shingles that a similar pair shares.  Runs longer than ``LONG_RUN`` come
+    out as they are, with their ``x``; a pair that shares one of those needs no others."""
     up, over = threshold.numerator, threshold.denominator
-    names = ["k_s", "k_l", "x", "place"]
+    names = ["k_s", "k_l", "x", "place", "weight"]
 
     def nothing(n: int) -> pa.Array:
         return pa.nulls(n, pa.int64())
 
+    def marked(ids: np.ndarray, x: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids), nothing(len(ids)), pa.array(x), pa.array(place.astype(np.int64)), nothing(len(ids))], names=names)
+
     def paired(x: np.ndarray, ids: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.append(True, (x[1:] != x[:-1]) | (ids[1:] != ids[:-1]))  # copies
-        x, ids, place = x[new], ids[new], place[new]
         h, n = x >> SIZE_BITS, x & LARGEST
         bounds = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         lengths = np.diff(np.append(bounds, len(h)))
         long = np.repeat(lengths > LONG_RUN, lengths)
         if long.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[long]), nothing(int(long.sum())), pa.array(x[long]), pa.array(place[long].astype(np.int64))], names=names)
+            yield marked(ids[long], x[long], place[long])
         ends = np.repeat(bounds + lengths, lengths)
         at, step, found = np.flatnonzero(~long), 1, []
         while len(at := at[at + step < ends[at]]):
@@ -204,23 +212,26 @@ def _pairs(threshold: Fraction):
             # Sizes ascend within a run: beyond the first that is too large there is none that fits.
             near = (n[at] * over >= n[other] * up) | (n[other] == LARGEST)
             at, other = at[near], other[near]
-            left = np.minimum(n[at] - place[at], n[other] - place[other])
-            fits = ((left * (over + up) >= (n[at] + n[other]) * up) | (n[other] == LARGEST)) & (ids[at] != ids[other])
+            left = np.minimum(n[at] - place[at], n[other] - place[other]) + COMMON - 1
+            whole, total = n[other] == LARGEST, (n[at] + n[other]) * up
+            fits = ((left * (over + up) >= total) | whole) & (ids[at] != ids[other])
             a, b = ids[at[fits]], ids[other[fits]]
-            found.append((np.minimum(a, b), np.maximum(a, b)))
+            shared = np.where(whole, 1, np.minimum(-(-total // (over + up)), COMMON))[fits]  # at least
+            found.append((np.minimum(a, b), np.maximum(a, b), -(-COMMON // shared)))
             step += 1
             if sum(len(f[0]) for f in found) > 100_000:
                 yield from together(found)
                 found = []
         yield from together(found)
 
-    def together(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    def together(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if found:
-            a, b = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, dtype=bool)
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), nothing(int(new.sum())), nothing(int(new.sum()))], names=names)
+            a, b, weight = (np.concatenate(c) for c in zip(*found, strict=True))
+            if len(a):
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), nothing(len(new)), nothing(len(new)), pa.array(np.add.reduceat(weight[order], new))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
@@ -228,12 +239,14 @@ def _pairs(threshold: Fraction):
             cols = [np.concatenate([a, b.to_numpy(zero_copy_only=False)]) for a, b in zip(held, batch.columns, strict=True)]
             if not len(cols[0]):
                 continue
+            new = np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))  # copies
+            cols = [c[new] for c in cols]
             cut = int(np.searchsorted(cols[0], cols[0][-1] >> SIZE_BITS << SIZE_BITS))
             if len(cols[0]) - cut > LONG_RUN + 1:  # the last run is long already; what has come of it goes out, but for what marks it
                 part = [c[cut : len(cols[0]) - LONG_RUN - 1] for c in cols]
                 if cut:
                     yield from paired(*(c[:cut] for c in cols))
-                yield pa.RecordBatch.from_arrays([pa.array(part[1]), nothing(len(part[1])), pa.array(part[0]), pa.array(part[2].astype(np.int64))], names=names)
+                yield marked(part[1], part[0], part[2])
                 cut = len(cols[0]) - LONG_RUN - 1
             elif cut:
                 yield from paired(*(c[:cut] for c in cols))
@@ -272,6 +285,26 @@ def _close(threshold: Fraction):
     return run
 
 
+def _cells(k: pa.Array) -> np.ndarray:
+    return k.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MARK_BITS)
+
+
+def _count_classes(batches: Iterator[pa.RecordBatch], counters: np.ndarray) -> None:
+    for batch in batches:
+        counters[_cells(batch.column(0))] = 1
+
+
+def _marked(marks):
+    """The rows whose class, in the first column, is marked, and by chance some others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = _cells(batch.column(0))
+            yield batch.filter(pa.array(marks.value[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8) & 1 == 1))
+
+    return run
+
+
 def _verified(threshold: Fraction):
     """Of pairs with their sets those that are similar, with the numbers of shingles that both and that either has."""
 
@@ -314,15 +347,17 @@ class Similar:
         sets = self.compared.select("k", "shingles")
         postings = sets.mapInArrow(_prefixes(t, self._levels()), "x bigint, k bigint, place int")
         by_shingle = postings.repartition(parts, F.shiftright("x", SIZE_BITS)).sortWithinPartitions("x", "k")
-        found = checkpointed(by_shingle.mapInArrow(_pairs(t), "k_s bigint, k_l bigint, x bigint, place bigint").distinct())
+        found = by_shingle.mapInArrow(_pairs(t), "k_s bigint, k_l bigint, x bigint, place bigint, weight bigint").groupBy("k_s", "k_l", "x", "place").agg(F.sum("weight").alias("weight"))
+        found = checkpointed(found.where((F.col("weight") >= COMMON) | F.col("x").isNotNull()))
         near, long = found.where("x IS NULL").select("k_s", "k_l"), found.where("x IS NOT NULL")
         near = near.unionByName(self._pairs_of_long_runs(long)).distinct() if long.limit(1).count() else near
         embedded = sets.mapInArrow(_embedded, "k bigint, n int, segments binary")
         both = near.join(embedded.select(F.col("k").alias("k_s"), F.col("n").alias("n_s"), F.col("segments").alias("seg_s")).distinct(), "k_s")
         both = both.join(embedded.select(F.col("k").alias("k_l"), F.col("n").alias("n_l"), F.col("segments").alias("seg_l")).distinct(), "k_l")
         maybe = checkpointed(both.select("k_s", "k_l", "n_s", "n_l", "seg_s", "seg_l").mapInArrow(_close(t), "k_s bigint, k_l bigint"))
-        ids = checkpointed(maybe.select(F.explode(F.array("k_s", "k_l")).alias("k")).distinct())
-        needed = rows_with_keys(sets, ids, "k").distinct()
+        ids = maybe.select(F.explode(F.array("k_s", "k_l")).alias("k"))
+        marks = counted(ids, _count_classes, 1 << MARK_BITS, lambda counts: np.packbits(counts > 0))
+        needed = sets.mapInArrow(_marked(self.prints.sparkSession.sparkContext.broadcast(marks)), "k bigint, shingles binary").distinct()
         exact = maybe.join(needed.select(F.col("k").alias("k_s"), F.col("shingles").alias("s")), "k_s").join(needed.select(F.col("k").alias("k_l"), F.col("shingles").alias("l")), "k_l")
         return exact.mapInArrow(_verified(t), "k_a bigint, k_b bigint, shared bigint, either bigint")
 
@@ -339,7 +374,7 @@ class Similar:
         large = large.withColumn("mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
         whole = F.col("n_l") == LARGEST
         fits = (F.col("n_l") >= F.col("n_s")) & ((F.col("n_s") * t.denominator >= F.col("n_l") * t.numerator) | whole) & ((F.col("n_s") < F.col("n_l")) | (F.col("a") < F.col("b")))
-        left = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l"))
+        left = F.least(F.col("n_s") - F.col("at_s"), F.col("n_l") - F.col("at_l")) + (COMMON - 1)
         fits = fits & ((left * (t.denominator + t.numerator) >= (F.col("n_s") + F.col("n_l")) * t.numerator) | whole)
         pairs = small.join(large, ["h", "cell", "mine", "theirs"]).where(fits & (F.col("a") != F.col("b")))
         return pairs.select(F.least("a", "b").alias("k_s"), F.greatest("a", "b").alias("k_l")).distinct()

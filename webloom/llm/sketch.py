@@ -21,7 +21,7 @@ def level(counts: np.ndarray) -> np.ndarray:
 
 
 def counted(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray], None], cells: int, levels: Callable[[np.ndarray], np.ndarray] = level) -> np.ndarray:
-    """``levels`` of the counters, ``cells`` bytes; ``count`` adds a task's batches to an array of ``cells`` counters.
+    """``levels`` of the counters, block by block; ``count`` adds a task's batches to an array of ``cells`` counters.
 
     ``cells`` is a multiple of ``BLOCKS``.  A task's own count of one cell stops at 65535.
     """
@@ -51,7 +51,7 @@ def counted(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch], np.ndarray
             yield done()
 
     by_block = df.mapInArrow(parts, "block int, counters binary").repartition(min(BLOCKS, shuffle_partitions(df.sparkSession)), "block").sortWithinPartitions("block")
-    out = np.zeros((BLOCKS, cells // BLOCKS), dtype=np.uint8)
+    out = np.zeros((BLOCKS, len(levels(np.zeros(cells // BLOCKS)))), dtype=np.uint8)
     for r in by_block.mapInArrow(summed, "block int, levels binary").collect():  # BLOCKS rows
         out[r.block] = np.frombuffer(zlib.decompress(r.levels), np.uint8)
     return out.ravel()
